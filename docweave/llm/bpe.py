@@ -11,7 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm.packing import byte_letters
+from docweave.llm.token_records import KnownWords
+
 #: Most words that a worker keeps the ids of.
-CACHE = 400_000
+CACHE = 600_000
 
 
 class PairIndexBPE:
@@ -31,8 +34,6 @@ class PairIndexBPE:
     no decoder, so tokens are joined by spaces. Other files are refused.
     """
 
-    _odd = frozenset("\x1c\x1d\x1e\x1f")
-
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         model, pre = spec["model"], spec["pre_tokenizer"]
@@ -46,9 +47,9 @@ class PairIndexBPE:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: w for w, i in self.vocab.items()} | {i: w for w, i in self.added.items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        from docweave.llm.packing import byte_letters
-
-        self.letters = {b: c for c, b in byte_letters().items()}
+        self.bytes = byte_letters()
+        self.letters = {b: c for c, b in self.bytes.items()}
+        self.path, self.library = path, None
         self.rank: dict[tuple[int, int], int] = {}
         self.made: list[int] = []
         for r, pair in enumerate(model["merges"]):
@@ -57,7 +58,8 @@ class PairIndexBPE:
             self.made.append(self.vocab[a + b])
         self.plain = [self.vocab[self.letters[b]] for b in range(256)]
         self.final = [self.vocab[self.letters[b] + self.suffix] for b in range(256)]
-        self.known: dict[str, bytes] = {}
+        self.known = KnownWords()  # by chunk between white space
+        self.words: dict[str, bytes] = {}  # by normalised word
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word (its bytes), all words at once."""
@@ -122,36 +124,44 @@ class PairIndexBPE:
         for part in self.special.split(chunk) if self.special else [chunk]:
             if part in self.added:
                 out.append(self.added[part])
+            elif not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part):
+                out.extend(self._split_by_library(part))
             elif part:
                 low = part.lower() if part.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", part))
                 out.extend(self.pattern.findall(low))
         return out
 
+    def _split_by_library(self, part: str) -> list[str]:
+        """Words of a part with characters that Python's Unicode tables lack and the library's may have."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+        return [bytes(map(self.bytes.__getitem__, p)).decode("utf-8") for p, _ in pieces]
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks; words that no chunk had before are merged together."""
+        parts = [self._words(c) for c in chunks]
+        new = list({p for ps in parts for p in ps if isinstance(p, str)}.difference(self.words))
+        if len(self.words) + len(new) > CACHE:
+            self.words.clear()
+            new = list({p for ps in parts for p in ps if isinstance(p, str)})
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            self.words.update(zip(some, (array("I", ids).tobytes() for ids in self.merge([w.encode("utf-8", "surrogatepass") for w in some]))))
+        return [b"".join(array("I", (p,)).tobytes() if isinstance(p, int) else self.words[p] for p in ps) for ps in parts]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers; null counts as empty."""
         split = []
         for t in texts:
             t = t or ""
-            if not self._odd.isdisjoint(t):
+            if any(c in t for c in "\x1c\x1d\x1e\x1f"):
                 split.append(regex.split(r"\s+", t))  # separators that str.split would drop
             else:
                 split.append((t.lower() if t.isascii() and "<|" not in t else t).split())
-        known = self.known
-        new = list(set(chain.from_iterable(split)).difference(known))
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(chain.from_iterable(split)))
-            parts = [self._words(w) for w in new]
-            words = list({p for ps in parts for p in ps if isinstance(p, str)})
-            ids = dict(zip(words, self.merge([w.encode("utf-8", "surrogatepass") for w in words])))
-            for w, ps in zip(new, parts):
-                known[w] = np.array([i for p in ps for i in ((p,) if isinstance(p, int) else ids[p])], dtype="<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        for w in new:
-            if len(w) > 64:
-                known.pop(w, None)
-        return out
+        return self.known.joined(split, self._learn)
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens joined by spaces, as without a decoder."""

@@ -18,7 +18,6 @@ import struct
 import uuid
 import zlib
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from docweave.llm.common import open_fs, partitions, scratch
 #: Fixed value of the masking rule.
 MASK_DELTA = 0xA282EAD8
 #: Most words that a worker keeps the ids of.
-CACHE = 400_000
+CACHE = 600_000
 
 _HEAD, _CRC, _KEY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq")
 
@@ -74,26 +73,72 @@ def read_frame(file, offset: int | None = None) -> bytes | None:
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+class KnownWords(dict):
+    """Ids of words; a word that isn't there is noted and counts as nothing for now."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        self.new.append(word)
+        return b""
+
+    def joined(self, texts: list[list[str]], learn) -> list[bytes]:
+        """Ids of texts given as words; ``learn`` gives the ids of a list of new words.
+
+        Holds ``CACHE`` words at most, and none of over 64 characters.
+        """
+        get = self.__getitem__
+        out, again = [], []
+        for i, words in enumerate(texts):
+            before = len(self.new)
+            out.append(b"".join(map(get, words)))
+            if len(self.new) > before:
+                again.append(i)
+        if again:
+            new = list(dict.fromkeys(self.new))
+            self.new.clear()
+            self.update(zip(new, learn(new)))
+            for i in again:
+                out[i] = b"".join(map(get, texts[i]))
+            if len(self) > CACHE:
+                self.clear()
+            for w in new:
+                if len(w) > 64:
+                    self.pop(w, None)
+        return out
+
+
 class WordEncoder:
     """Whole-text ids by the tokenizers library for vocabularies that drop white space.
 
     Such a vocabulary never joins bytes across white space, so a text's ids
-    are its words' ids in a row. Words are encoded by the library once and
-    kept; texts with separators on which the library and ``str.split``
+    are its words' ids in a row. New words are encoded by the library, many
+    in one text, and kept; the word-end mark of the vocabulary tells where
+    each ends. Texts with separators on which the library and ``str.split``
     differ go to the library whole.
     """
 
-    _odd = frozenset("\x1c\x1d\x1e\x1f")
-
     def __init__(self, path: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
+        spec = json.load(open(path, encoding="utf-8"))
+        mark = spec["model"].get("end_of_word_suffix")
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        if not mark or split.get("behavior") != "Removed" or not split.get("invert"):
+            raise ValueError(f"{path} doesn't drop white space")
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        if self.library.encode("a b", add_special_tokens=False).ids != [i for w in "ab" for i in self.library.encode(w, add_special_tokens=False).ids]:
-            raise ValueError(f"{path} doesn't drop white space")
-        self.known: dict[str, bytes] = {}
+        self.pattern = regex.compile(split["pattern"]["Regex"])
+        vocab = spec["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith(mark)]] = True
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.known = KnownWords()
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -101,24 +146,35 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        # of Latin letters it is certain how the library splits them; other words are encoded alone
+        plain = [w for w in words if (w.isascii() or max(w) < "\u0250" and "\u0130" not in w) and not any(a in w for a in self.added)]
+        ids = dict.fromkeys(words)
+        runs = [plain[i : i + 400] for i in range(0, len(plain), 400)]
+        for run, e in zip(runs, self.library.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+            got = np.array(e.ids, dtype="<u4")
+            parts = np.flatnonzero(self.ends[got]) + 1
+            count = np.cumsum([1 if w.isalpha() else len(self.pattern.findall(w)) for w in run])
+            if count[-1] != len(parts) or parts[-1] != len(got):
+                continue  # encoded one by one below
+            data, stops = got.tobytes(), (4 * parts[count - 1]).tolist()
+            for w, a, b in zip(run, [0, *stops], stops):
+                ids[w] = data[a:b]
+        rest = [w for w, v in ids.items() if v is None]
+        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
+            ids[w] = np.array(e.ids, dtype="<u4").tobytes()
+        return [ids[w] for w in words]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        split = []
-        for t in texts:
-            t = t or ""
-            split.append([t] if not self._odd.isdisjoint(t) else (t.lower() if t.isascii() else t).split())
-        known = self.known
-        new = list(set(chain.from_iterable(split)).difference(known))
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(chain.from_iterable(split)))
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > 64:
-                known.pop(w, None)
+        texts = [t or "" for t in texts]
+        odd = {i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
+        out = self.known.joined([[] if i in odd else (t.lower() if t.isascii() and "<|" not in t else t).split() for i, t in enumerate(texts)], self._learn)
+        for i in odd:
+            out[i] = self._whole(texts[i])
         return out
 
 
@@ -170,7 +226,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
         with system.open_output_stream(local + ".idx") as out:
             out.write(np.array(offsets, dtype="<u8").tobytes())
         if offsets:
-            yield pa.RecordBatch.from_pydict({"part": [number], "path": [path], "records": [len(offsets)], "tokens": [tokens]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "path": [path], "records": [len(offsets)], "tokens": [tokens]})
 
     found = rows.mapInArrow(work, "part int, path string, records long, tokens long").collect()
     parts, start = [], 0

@@ -21,11 +21,13 @@ from docweave.llm.common import cut
 
 #: Expected labelled rows of each class that a model is fitted on.
 TRAIN_ROWS = 5000
-#: Most lexicon voters.
+#: Most lexicon voters that labels may suggest.
 VOTERS = 96
 #: Letters of the word beginnings that may become voters.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
+#: Voters that are there before any label is seen; the label model finds what they are worth.
+SEEDS = "idiot moron stupid dumb loser pathetic worthless scum trash disgusting clown fool jerk ugly hate imbecile vermin filth".split()
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -164,16 +166,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return Model()
-    lift = (F.col("toxic") + 0.1) / (n[1] + 0.2) / ((F.col("clean") + 0.1) / (n[0] + 0.2))
-    ranked = rows.mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    least = max(2, n[1] // 500)
-    best = ranked.where((F.col("toxic") >= least) & (lift > 12)).select("entry", "toxic", (F.log(lift) * F.sqrt("toxic")).alias("gain")).orderBy(F.desc("gain"), "entry").limit(20 * VOTERS).collect()
-    lexicon: list[str] = []
+    # copies of a text say no more about its words than the text does
+    share_toxic = n[1] / (n[0] + n[1])
+    found = rows.dropDuplicates(["text"]).mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = cut(found.where("toxic > 1"))
+    # log-likelihood ratio against chance, beyond what the best of so many candidates reaches by chance
+    part = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    surprise = 2 * (F.col("toxic") * F.log(part / share_toxic) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - part) / (1 - share_toxic))).otherwise(0.0))
+    least = 2 * float(np.log(max(found.count(), 1)))
+    best = found.where(part > 3 * share_toxic / (1 + 2 * share_toxic)).select("entry", "toxic", surprise.alias("gain")).where(F.col("gain") > least)
+    best = best.orderBy(F.desc("gain"), F.col("entry").endswith("*"), F.desc(F.length("entry")), "entry").limit(40 * VOTERS).collect()
+    chosen: dict[str, int] = dict.fromkeys(SEEDS, 0)
     for r in best:
-        word = r["entry"].rstrip("*")
-        # an entry that a chosen beginning covers adds no voter
-        if len(lexicon) < VOTERS and not any(e.endswith("*") and word.startswith(e[:-1]) and word != e[:-1] for e in lexicon):
-            lexicon.append(r["entry"])
+        entry, word = r["entry"], r["entry"].rstrip("*")
+        if entry in chosen:
+            chosen[entry] = r["toxic"]
+            continue
+        # one that chosen beginnings cover, or whose own words are mostly chosen, adds no voter
+        covered = any(e.endswith("*") and word.startswith(e[:-1]) for e in chosen)
+        within = sum(k for e, k in chosen.items() if entry.endswith("*") and e.rstrip("*").startswith(word))
+        if len(chosen) < VOTERS + len(SEEDS) and not covered and within < 0.8 * r["toxic"]:
+            chosen[entry] = r["toxic"]
+    lexicon = list(chosen)
     model = Model(lexicon)
 
     def look(batches):

@@ -7,8 +7,9 @@ A record file is a run of frames. A frame is
 
 all little endian, the checksum being CRC-32 rotated right by 15 bits plus a
 constant, so that data that hold checksums of themselves don't hit. The data
-are a flag byte (1: the id is null), the document id (8 bytes), and the
-token ids as unsigned 32-bit integers. Beside each file lies an index: the
+are a flag byte (1: the id is null), the width of a token id in bytes (2 if
+all of the vocabulary's ids fit, else 4), the document id (8 bytes), and the
+token ids as unsigned integers of that width. Beside each file lies an index: the
 offset of each frame, unsigned 64 bits, for reads in any order.
 """
 
@@ -25,13 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm.common import open_fs, partitions, scratch
+from docweave.llm.words import DOCS, encode_words
 
 #: Fixed value of the masking rule.
 MASK_DELTA = 0xA282EAD8
-#: Most words that a worker keeps the ids of.
-CACHE = 600_000
-
-_HEAD, _CRC, _KEY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq")
+_HEAD, _CRC, _KEY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<BBq")
 
 
 def masked_crc(data: bytes) -> int:
@@ -44,14 +43,14 @@ def frame(data: bytes) -> bytes:
     return b"".join((head, _CRC.pack(masked_crc(head)), data, _CRC.pack(masked_crc(data))))
 
 
-def pack_record(key: int | None, ids: bytes) -> bytes:
-    """A frame around one document's ids."""
-    return frame(_KEY.pack(key is None, key or 0) + ids)
+def pack_record(key: int | None, ids: np.ndarray) -> bytes:
+    """A frame around one document's ids, an array of unsigned integers of 2 or 4 bytes."""
+    return frame(_KEY.pack(key is None, ids.itemsize, key or 0) + ids.tobytes())
 
 
-def unpack_record(data: bytes) -> tuple[int | None, bytes]:
-    null, key = _KEY.unpack_from(data)
-    return None if null else key, data[_KEY.size :]
+def unpack_record(data: bytes) -> tuple[int | None, np.ndarray]:
+    null, width, key = _KEY.unpack_from(data)
+    return None if null else key, np.frombuffer(data, f"<u{width}", offset=_KEY.size).astype("<u4")
 
 
 def read_frame(file, offset: int | None = None) -> bytes | None:
@@ -73,50 +72,13 @@ def read_frame(file, offset: int | None = None) -> bytes | None:
 _encoders: dict[str, "WordEncoder"] = {}
 
 
-class KnownWords(dict):
-    """Ids of words; a word that isn't there is noted and counts as nothing for now."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> bytes:
-        self.new.append(word)
-        return b""
-
-    def joined(self, texts: list[list[str]], learn) -> list[bytes]:
-        """Ids of texts given as words; ``learn`` gives the ids of a list of new words.
-
-        Holds ``CACHE`` words at most, and none of over 64 characters.
-        """
-        get = self.__getitem__
-        out, again = [], []
-        for i, words in enumerate(texts):
-            before = len(self.new)
-            out.append(b"".join(map(get, words)))
-            if len(self.new) > before:
-                again.append(i)
-        if again:
-            new = list(dict.fromkeys(self.new))
-            self.new.clear()
-            self.update(zip(new, learn(new)))
-            for i in again:
-                out[i] = b"".join(map(get, texts[i]))
-            if len(self) > CACHE:
-                self.clear()
-            for w in new:
-                if len(w) > 64:
-                    self.pop(w, None)
-        return out
-
-
 class WordEncoder:
     """Whole-text ids by the tokenizers library for vocabularies that drop white space.
 
     Such a vocabulary never joins bytes across white space, so a text's ids
     are its words' ids in a row. New words are encoded by the library, many
     in one text, and kept; the word-end mark of the vocabulary tells where
-    each ends. Texts with separators on which the library and ``str.split``
-    differ go to the library whole.
+    each ends.
     """
 
     def __init__(self, path: str):
@@ -138,7 +100,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith(mark)]] = True
         self.added = [t["content"] for t in spec["added_tokens"]]
-        self.known = KnownWords()
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -146,12 +108,11 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
     def _learn(self, words: list[str]) -> list[bytes]:
         # of Latin letters it is certain how the library splits them; other words are encoded alone
-        plain = [w for w in words if (w.isascii() or max(w) < "\u0250" and "\u0130" not in w) and not any(a in w for a in self.added)]
+        plain = [w for w in words if w and (w.isascii() or max(w) < "\u0250" and "\u0130" not in w)]
+        if any(a in text for a in self.added for text in [" ".join(plain)]):
+            plain = [w for w in plain if not any(a in w for a in self.added)]
         ids = dict.fromkeys(words)
         runs = [plain[i : i + 400] for i in range(0, len(plain), 400)]
         for run, e in zip(runs, self.library.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
@@ -168,14 +129,9 @@ class WordEncoder:
             ids[w] = np.array(e.ids, dtype="<u4").tobytes()
         return [ids[w] for w in words]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        texts = [t or "" for t in texts]
-        odd = {i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        out = self.known.joined([[] if i in odd else (t.lower() if t.isascii() and "<|" not in t else t).split() for i, t in enumerate(texts)], self._learn)
-        for i in odd:
-            out[i] = self._whole(texts[i])
-        return out
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin; null counts as empty."""
+        return encode_words(texts, self.known, self._learn)
 
 
 @dataclass
@@ -200,12 +156,12 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     folder = folder or scratch(spark, "records")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id")
-    end = struct.pack("<I", end_id)
-
     def work(batches):
         from pyspark import TaskContext
 
         encoder = WordEncoder.of(tokenizer)
+        kind = "<u2" if max(len(encoder.ends), end_id) < 1 << 16 else "<u4"
+        end = np.array([end_id], kind)
         number = TaskContext.get().partitionId()
         path = f"{folder}/part-{number:05d}-{uuid.uuid4().hex}.rec"
         system, local = open_fs(path)
@@ -213,15 +169,17 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
         offset, tokens, offsets = 0, 0, []
         with system.open_output_stream(local) as out:
             for b in batches:
-                for at in range(0, b.num_rows, 512):
-                    part = b.slice(at, 512)
+                for at in range(0, b.num_rows, DOCS):
+                    part = b.slice(at, DOCS)
                     frames = []
-                    for key, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                        f = pack_record(key, ids + end)
+                    ids, first = encoder.encode(part.column(1))
+                    ids = ids.astype(kind)
+                    for i, key in enumerate(part.column(0).to_pylist()):
+                        f = pack_record(key, np.concatenate((ids[first[i] : first[i + 1]], end)))
                         offsets.append(offset)
                         offset += len(f)
-                        tokens += len(ids) // 4 + 1
                         frames.append(f)
+                    tokens += len(ids) + part.num_rows
                     out.write(b"".join(frames))
         with system.open_output_stream(local + ".idx") as out:
             out.write(np.array(offsets, dtype="<u8").tobytes())
@@ -253,8 +211,8 @@ def read(spark: SparkSession, parts: list[Part], id_col: str = "doc_id") -> Data
                         key, own = unpack_record(data)
                         keys.append(key)
                         starts.append(start)
-                        ids.append(own)
-                        start += len(ids[-1]) // 4
+                        ids.append(own.tobytes())
+                        start += len(own)
                         size += len(data)
                         seen += 1
                         if size > 8 << 20:
@@ -276,5 +234,4 @@ def read_at(part: Part, record: int) -> tuple[int | None, np.ndarray]:
         (offset,) = _HEAD.unpack(f.read(8))
     with system.open_input_file(local) as f:
         data = read_frame(f, offset)
-    key, ids = unpack_record(data)
-    return key, np.frombuffer(ids, "<u4")
+    return unpack_record(data)

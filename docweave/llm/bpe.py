@@ -20,10 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.packing import byte_letters
-from docweave.llm.token_records import KnownWords
-
-#: Most words that a worker keeps the ids of.
-CACHE = 600_000
+from docweave.llm.words import CACHE, DOCS, binary, encode_words
 
 
 class PairIndexBPE:
@@ -58,7 +55,7 @@ class PairIndexBPE:
             self.made.append(self.vocab[a + b])
         self.plain = [self.vocab[self.letters[b]] for b in range(256)]
         self.final = [self.vocab[self.letters[b] + self.suffix] for b in range(256)]
-        self.known = KnownWords()  # by chunk between white space
+        self.known: dict[str, bytes] = {}  # by chunk between white space
         self.words: dict[str, bytes] = {}  # by normalised word
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
@@ -152,16 +149,9 @@ class PairIndexBPE:
             self.words.update(zip(some, (array("I", ids).tobytes() for ids in self.merge([w.encode("utf-8", "surrogatepass") for w in some]))))
         return [b"".join(array("I", (p,)).tobytes() if isinstance(p, int) else self.words[p] for p in ps) for ps in parts]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers; null counts as empty."""
-        split = []
-        for t in texts:
-            t = t or ""
-            if any(c in t for c in "\x1c\x1d\x1e\x1f"):
-                split.append(regex.split(r"\s+", t))  # separators that str.split would drop
-            else:
-                split.append((t.lower() if t.isascii() and "<|" not in t else t).split())
-        return self.known.joined(split, self._learn)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin; null counts as empty."""
+        return encode_words(texts, self.known, self._learn)
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens joined by spaces, as without a decoder."""
@@ -189,9 +179,10 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     def work(batches):
         bpe = load(tokenizer)
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                ids = bpe.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string())], names=[id_col, "ids", "decoded"])
+            for at in range(0, b.num_rows, DOCS):
+                part = b.slice(at, DOCS)
+                ids, first = bpe.encode(part.column(1))
+                decoded = [bpe.decode(ids[i:j]) for i, j in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), binary(ids, first), pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
 
     return own.mapInArrow(work, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids binary, decoded string")

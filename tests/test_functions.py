@@ -1,0 +1,176 @@
+"""Text functions, windows and figure rules against literal goldens and plain Python."""
+
+import re
+from difflib import SequenceMatcher
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from docweave.functions import text as t
+from docweave.operators import chunking, figures, fusion, structure
+
+
+def value(spark, column, **row):
+    names = list(row)
+    df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{n} {'array<int>' if isinstance(row[n], list) and (not row[n] or isinstance(row[n][0], int)) else 'array<string>' if isinstance(row[n], list) else 'int' if isinstance(row[n], int) else 'string'}" for n in names))
+    return df.select(column.alias("v")).first()["v"]
+
+
+TEXTS = ["", " ", " a b\x1c c \n", "Iechä.", "A1-b2 ÉX", "**Bold** | x\n  - item\n> q", "ß*ß", "\u0085x　y"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_scalar_functions_equal_python(spark, text):
+    assert value(spark, t.normalize_whitespace("x"), x=text) == " ".join(text.split())
+    assert value(spark, t.tokenize("x"), x=text) == re.findall("[a-z0-9]+", text.lower())
+    assert value(spark, t.tokens("x"), x=text) == text.split()
+    assert value(spark, t.strip("x"), x=text) == text.strip()
+    assert value(spark, t.escape_emphasis("x"), x=text) == " ".join(text.replace("*", "\\*").split())
+    key = re.sub(r"\s+", " ", re.sub(r"^[\s\-]+", "", re.sub(r"[#*_`>|]+", " ", text), flags=re.M)).strip().lower()[:250]
+    assert value(spark, t.match_key("x"), x=text) == key
+    assert value(spark, t.ensure_limit("x", 2), x=text) == " ".join(text.split()[:2])
+
+
+def test_goldens(spark):
+    for pages, want in (([], "Page unavailable"), ([3], "Page 3"), ([3, 5], "Pages 3, 5")):
+        assert value(spark, t.citation("x"), x=pages) == want
+    assert value(spark, t.strip_transcript("x"), x="system x\nuser y\nassistant:\n a chart\nwith axes") == "a chart\nwith axes"
+    assert value(spark, t.strip_transcript("x"), x="Assistant: b assistant c") == "b assistant c"
+    assert value(spark, t.strip_transcript("x"), x=" none ") == "none"
+    assert value(spark, t.strip_leading_assistant("x"), x="assistant: a virtual assistant icon") == "a virtual assistant icon"
+    assert value(spark, t.strip_leading_assistant("x"), x="a virtual assistant icon") == "a virtual assistant icon"
+    assert value(spark, t.heading_prefix("x", F.lit("text")), x=["A  b", " ", "C"]) == "A b | C. "
+    assert value(spark, t.heading_prefix("x", F.lit("table")), x=["A"]) == "A\n"
+    assert value(spark, t.heading_prefix("x", F.lit("text")), x=[" "]) == ""
+    assert value(spark, t.digit_pages("x"), x=["10", "2", "x", "2"]) == [2, 10]
+    assert value(spark, t.first_filled("x", F.lit("b")), x="") == "b"
+    assert value(spark, t.file_stem("x"), x="s3://a/b.c/page_1.tar.png") == "page_1.tar"
+    assert value(spark, t.lacks("x", F.lit("STRASSE")), x="die Straße") is False
+    assert value(spark, t.sha256("x"), x="abc").startswith("ba7816bf") and value(spark, t.image_key("x"), x="abc").startswith("900150983c")
+    assert value(spark, t.fallback_caption("x", F.lit(0), F.array(F.lit(2))), x="") == "Figure 1 extracted from page(s) 2."
+    assert value(spark, t.query_text("x"), x=" q ").endswith("passages: q")
+    assert value(spark, t.figure_markdown(F.lit(2), F.lit(1), "x"), x="page_2_img_1.png").startswith("Figure 2.1 Description:\n\n![page_2_img_1](../images/page_2_img_1.png)\n\n*TO_BE")
+    kinds = [("a|b", True, "table"), ("a", False, "text"), ("a", True, "text_with_image")]
+    assert [value(spark, t.source_type("x", False, p), x=x) for x, p, _ in kinds] == [k for *_, k in kinds]
+    assert value(spark, t.source_type("x", False, True, False), x="a") == "image"
+    names = ["img_10.png", "img_9.png", "img_1.png", "a.png"]
+    df = spark.createDataFrame([(n,) for n in names], "x string").orderBy(t.natural_key("x"))
+    assert [r.x for r in df.collect()] == ["a.png", "img_1.png", "img_9.png", "img_10.png"]
+
+
+def test_window_goldens(spark):
+    sizes = [0, 1, 442, 500, 1000]
+    df = spark.createDataFrame([(n,) for n in sizes], "n int").withColumn("w", chunking.windows(F.col("n"), F.lit(442)))
+    got = {r.n: [(w.start, w.end) for w in r.w] for r in df.collect()}
+    assert got == {0: [(0, 0)], 1: [(0, 1)], 442: [(0, 442)], 500: [(0, 400), (350, 500)], 1000: [(0, 442), (392, 834), (784, 1000)]}
+
+
+def test_closed_form_equals_the_loop(spark):
+    df = spark.range(1, 1500, 7).crossJoin(spark.range(150, 451, 23).withColumnRenamed("id", "m")).withColumn("w", chunking.windows(F.col("id").cast("int"), F.col("m").cast("int")))
+    for r in df.collect():
+        assert [(w.start, w.end) for w in r.w] == chunking.loop_windows(r.id, r.m, 50, 100)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 3000), st.integers(1, 500))
+def test_loop_windows(n, m):
+    w = chunking.loop_windows(n, m, 50, 100)
+    assert w[0][0] == 0 and w[-1][1] == n and all(b - a <= m for a, b in w)
+    for (_, end), (start, _) in zip(w, w[1:]):
+        if m >= 150:
+            assert end - start == 50
+    if m >= 150 and len(w) > 1:
+        assert w[-1][1] - w[-1][0] >= 100
+
+
+def test_chunk_records_and_images(spark):
+    long = " ".join(f"w{i}" for i in range(1000))
+    items = spark.createDataFrame([("d", 0, "  ", ["H"], "text", [1]), ("d", 1, long, ["H  x", " "], "text", [2, 3]), ("d", 2, "a | b\nc", ["h"] * 400, "table", [4]), ("c", 0, "short", [], "text", [])], "document_name string, item_no int, raw_text string, headings array<string>, source_type string, page_numbers array<int>")
+    images = spark.createDataFrame([("d", 0, 7, "p", " ", ["1"]), ("d", 1, 8, None, "a chart", ["2", "x"]), ("d", 2, 9, None, long, None)], "document_name string, image_no int, image_id int, image_path string, description string, page_numbers array<string>")
+    rows = chunking.numbered_chunks(chunking.chunk_records(items).unionByName(chunking.image_records(images))).orderBy("id").collect()
+    assert [r.id for r in rows] == [f"chunk-{i:05d}" for i in range(len(rows))]
+    assert rows[0].text == "short" and rows[0].document_name == "c"
+    assert rows[1].text.startswith("H x. w0 ") and all(len(r.text.split()) <= 450 for r in rows)
+    bodies = [r.raw_text.split() for r in rows if r.source_type == "text" and r.document_name == "d"]
+    assert [(b[0], b[-1]) for b in bodies] == [(f"w{a}", f"w{b - 1}") for a, b in chunking.loop_windows(1000, 440, 50, 100)]
+    pictures = [r for r in rows if r.source_type == "image"]
+    assert pictures[0].text == "Image description. Image description from d. Image 8. a chart" and pictures[0].page_numbers == [2]
+    assert [r.metadata.split_from for r in pictures[1:]] == ["image-0002"] * 3
+    table = [r for r in rows if r.source_type == "table"]
+    assert len(table) >= 1 and table[0].raw_text
+
+
+def test_gap_fill_and_markers(spark):
+    rows = spark.createDataFrame([("a", 0, None), ("a", 1, 5.0), ("a", 2, None), ("a", 3, 2.0), ("b", 0, None), ("b", 1, None)], "document_id string, i int, anchor double")
+    got = figures.fill_anchors(rows, "anchor", "i", ("document_id",)).orderBy("document_id", "i")
+    assert [r.anchor for r in got.collect()] == [5, 5, 5, 2, 0, 0]
+    lines = spark.createDataFrame([("d", i, x) for i, x in enumerate(["pre", "<!-- page: 1 -->", "a", "<!-- page: 2 -->", "b"])], "document_id string, line_no int, line string")
+    assert [r.page_no for r in figures.last_marker(lines).orderBy("line_no").collect()] == [None, 1, 1, 2, 2]
+
+
+def test_fusion_golden(spark):
+    rank = lambda ids: spark.createDataFrame([(0, c, i + 1) for i, c in enumerate(ids)], "query_id int, chunk_id int, rank int")
+    got = fusion.fuse(rank([1, 2, 3]), rank([2, 1, 4])).orderBy("fused_rank").collect()
+    assert [r.chunk_id for r in got] == [1, 2, 3, 4]
+    assert got[0].score == pytest.approx(1 / 61 + 1 / 62) and got[3].score == pytest.approx(1 / 63)
+
+
+REGION = "document_id string, page_no int, kind string, region_no int, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double"
+
+
+def test_greedy_dedup(spark):
+    boxes = [(0, 0, 100, 100), (0, 0, 99, 99), (200, 200, 300, 300), (95, 95, 400, 400)]
+    rows = [("d", 1, "raster", i, *map(float, b), 1000.0, 1000.0) for i, b in enumerate(boxes)] + [("d", 1, "vector", 0, 0.0, 0.0, 100.0, 100.0, 1000.0, 1000.0), ("e", 1, "vector", 0, 1.0, 1.0, 2.0, 2.0, 1000.0, 1000.0)]
+    got = figures.greedy_dedup(spark.createDataFrame(rows, REGION)).collect()
+    assert sorted((r.document_id, r.kind, r.region_no) for r in got) == [("d", "raster", 0), ("d", "raster", 2), ("e", "vector", 0)]
+
+
+def test_figure_filters(spark):
+    rows = [("d", 1, "raster", i, *map(float, b), 1000.0, 1000.0) for i, b in enumerate([(-50, 0, 60, 90), (-50, 0, 100, 90), (0, 0, 1000, 100), (0, 0, 990, 990), (0, 0, 200, 100), (0, 0, 79, 500)])]
+    got = figures.keep_figures(figures.clip(spark.createDataFrame(rows, REGION)))
+    assert sorted(r.region_no for r in got.collect()) == [1, 4]
+
+
+def test_placement_and_captions(spark):
+    paragraphs = spark.createDataFrame([("d", 1, i, a, x) for i, (a, x) in enumerate([(10.0, "p0"), (50.0, "p1"), (20.0, "p2")])], "document_id string, page_no int, paragraph_no int, anchor double, text string")
+    figs = spark.createDataFrame([("d", 1, 30.0, "F30"), ("d", 1, 5.0, "F5"), ("d", 1, 25.0, "F25")], "document_id string, page_no int, y0 double, markdown string")
+    placed = figures.place_figures(figs, paragraphs)
+    assert {r.markdown: r.paragraph_no for r in placed.collect()} == {"F30": 2, "F25": 2, "F5": -1}
+    assert figures.insert_figures(paragraphs, placed).first().markdown == "F5\n\np0\n\np1\n\np2\n\nF25\n\nF30"
+    md = "a\n ![i](../images/i.png) \n\n" + t.PLACEHOLDER + "\n![i](../images/i.png)\n" + t.PLACEHOLDER + "\n![j](../images/j.png)\n1\n2\n3\n4\n5\n" + t.PLACEHOLDER
+    captions = spark.createDataFrame([("d", "i.png", "assistant: a *b*"), ("d", "j.png", "far"), ("d", "k.png", "absent")], "document_id string, image string, description string")
+    got = figures.fill_captions(spark.createDataFrame([("d", md)], "document_id string, markdown string"), captions).first().markdown.split("\n")
+    assert got[3] == r"*a \*b\**" and got[5] == t.PLACEHOLDER and got[-1] == t.PLACEHOLDER and len(got) == len(md.split("\n"))
+
+
+def test_block_matching(spark):
+    paragraphs = spark.createDataFrame([("d", 1, 0, "**Revenue** grew | 12% |"), ("d", 1, 1, "zzzz"), ("d", 2, 0, "x")], "document_id string, page_no int, paragraph_no int, text string")
+    blocks = spark.createDataFrame([("d", 1, 0, 0, 5.0, "qqqq"), ("d", 1, 1, 0, 7.0, "Revenue grew 12%"), ("d", 1, 2, 0, 9.0, "Revenue grew 12%"), ("d", 1, 3, 1, 1.0, "Revenue grew 12%")], "document_id string, page_no int, block_no int, block_type int, y0 double, text string")
+    got = {(r.page_no, r.paragraph_no): (r.anchor, r.ratio) for r in figures.match_blocks(paragraphs, blocks).collect()}
+    assert got[1, 0] == (7.0, SequenceMatcher(None, "revenue grew 12%", "revenue grew 12%").ratio())
+    assert got[1, 1][0] is None and got[2, 0] == (None, None)
+
+
+def test_runs_limits_and_poison(spark):
+    rows = spark.createDataFrame([("d", i, k, p, d) for i, (k, p, d) in enumerate([("1", "x", "a"), ("1", "b here", "B"), ("1", "", "c"), ("1", "", "e"), ("2", "", "f"), ("1", "", "g"), ("1", "", "")])], "document_id string, item_no int, page_key string, parent_text string, description string")
+    got = [(r.run_id, r.appended, r.serialized) for r in chunking.picture_runs(rows).orderBy("item_no").collect()]
+    assert got == [(1, True, "x\nImage description: a"), (1, False, "b here"), (1, True, "Image description: c"), (1, False, ""), (2, True, "Image description: f"), (3, True, "Image description: g"), (3, False, "")]
+    seen = figures.limit_occurrences(spark.createDataFrame([("d", "h", i) for i in range(5)], "document_id string, h string, i int"), "h", ["i"])
+    assert sorted(r.i for r in seen.collect()) == [0, 1, 2]
+    captions = spark.createDataFrame([("d", 0, "ok", None), ("d", 1, "bad", "CUDA error: x"), ("d", 2, "late", None)], "document_id string, image_no int, description string, error string")
+    assert [r.description[:7] for r in figures.poison_after(captions).orderBy("image_no").collect()] == ["ok", "SKIPPED", "SKIPPED"]
+    pictures = spark.createDataFrame([("d", 0, 99, 500, "c", [1]), ("d", 1, 200, 200, "", [1, 2]), ("d", 2, 200, 200, "", [])], "document_id string, image_id int, width int, height int, caption string, page_numbers array<int>")
+    described = figures.describe_pictures(pictures, spark.createDataFrame([("d", 2, "assistant: seen")], "document_id string, image_id int, description string"))
+    assert {r.image_id: (r.description, r.provenance) for r in described.collect()} == {1: ("Figure 2 extracted from page(s) 1, 2.", "vision_pipeline:fallback-caption"), 2: ("seen", "vision_pipeline:model")}
+
+
+def test_markdown_items_and_repair(spark):
+    pages = spark.createDataFrame([("d", 1, "intro\n\n# One\n\npara a\n\npara b"), ("d", 2, "more\n\n## Two\n\n![x](y.png)")], "document_id string, page_no int, markdown string")
+    got = [(r.raw_text, r.headings, r.source_type, r.page_numbers) for r in structure.markdown_items(pages).orderBy("item_no").collect()]
+    assert got == [("intro", [], "text", [1]), ("para a\n\npara b\n\nmore", ["One"], "text", [1, 2]), ("![x](y.png)", ["Two"], "image", [2])]
+    chunks = spark.createDataFrame([("chunk-00000", "t", "system a user b assistant: c", "image", ["Image description"])], "id string, text string, raw_text string, source_type string, headings array<string>")
+    assert structure.needs_repair(chunks)
+    fixed = structure.repair_transcripts(chunks)
+    assert fixed.first().text == "Image description. c" and not structure.needs_repair(fixed)

@@ -40,6 +40,14 @@ def entries(text: str) -> set[str]:
     return out
 
 
+def sketch(text: str, words: int = 5) -> int:
+    """The least hash of the text's 5-word shingles: near copies mostly share it, other texts don't."""
+    from xxhash import xxh64_intdigest
+
+    own = text.lower().split()
+    return min(xxh64_intdigest(" ".join(own[i : i + words])) for i in range(max(1, len(own) - words + 1))) >> 1
+
+
 @dataclass
 class Model:
     lexicon: list[str] = field(default_factory=list)
@@ -166,9 +174,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return Model()
-    # copies of a text say no more about its words than the text does
+    # near copies of a text say no more about its words than the text does
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("long")
+    def sketch_of(texts):
+        import pandas as pd
+
+        return pd.Series([sketch(x) for x in texts], dtype="int64")
+
+    alone = rows.withColumn("sketch", sketch_of(F.col("text"))).dropDuplicates(["sketch", "toxic"]).select("text", "toxic")
     share_toxic = n[1] / (n[0] + n[1])
-    found = rows.dropDuplicates(["text"]).mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = alone.mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     found = cut(found.where("toxic > 1"))
     # log-likelihood ratio against chance, beyond what the best of so many candidates reaches by chance
     part = F.col("toxic") / (F.col("toxic") + F.col("clean"))

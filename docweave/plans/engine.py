@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docweave.config import DEFAULT, Settings
 from docweave.functions import text as t
+from docweave.functions.lineage import cut
 from docweave.models import ExtractiveGenerator, HashedEncoder, OverlapReranker
 from docweave.operators import chunking, dense, fusion, prompts, sparse, structure
 from docweave.plans.catalog import CacheStatus, Catalog, changed, manifest_of
@@ -69,7 +70,7 @@ class Engine:
         body = t.first_filled("embedding_text", "text", "raw_text")
         own = chunks.select(F.col("id").alias("chunk_id"), body.alias("text"))
         self.catalog.write(generation, "embeddings", own.select("chunk_id", self.encoder.encode(F.col("text")).alias("embedding")))
-        lengths, postings = sparse.postings_of(own)
+        lengths, postings = sparse.flat(cut(sparse.postings_of(own)))
         self.catalog.write(generation, "lengths", lengths)
         self.catalog.write(generation, "postings", postings)
         stored = sparse.derived(self.catalog.table(generation, "lengths"), self.catalog.table(generation, "postings"))

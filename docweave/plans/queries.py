@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.config import DEFAULT
 from docweave.functions import text as t
-from docweave.functions.lineage import cut
+from docweave.functions.lineage import cut, spread
 from docweave.models import ExtractiveGenerator, HashedEncoder, OverlapReranker
 from docweave.operators import chunking, dense, figures, fusion, prompts, sparse
 from docweave.plans.catalog import changed, manifest_of
@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def normalize_whitespace(spark, sf_dir):
@@ -41,7 +41,7 @@ def chunk_windows(spark, sf_dir):
 
 def _page_chunks(spark, sf_dir):
     # both branches of the windows read the items
-    return chunking.chunk_records(cut(chunking.html_items(_table(spark, sf_dir, "pages"))))
+    return chunking.chunk_records(cut(chunking.html_items(spread(_table(spark, sf_dir, "pages").select("page_id", "html")))))
 
 
 def chunk_records(spark, sf_dir):

@@ -77,9 +77,10 @@ def place_figures(figures: DataFrame, paragraphs: DataFrame, keys: tuple[str, ..
 
 
 def insert_figures(paragraphs: DataFrame, placed: DataFrame, keys: tuple[str, ...] = ("document_id", "page_no")) -> DataFrame:
-    """One text a page: its paragraphs, each followed by its figures' Markdown from top to bottom."""
-    rows = paragraphs.select(*keys, F.struct(F.col("paragraph_no").alias("p"), F.lit(-1e18).alias("y"), F.col("text").alias("m")).alias("__s"))
-    rows = rows.unionByName(placed.select(*keys, F.struct(F.col("paragraph_no").alias("p"), F.col("y0").cast("double").alias("y"), F.col("markdown").alias("m")).alias("__s")))
+    """One text a page: its paragraphs that aren't blank, each followed by its figures' Markdown from top to bottom."""
+    rows = paragraphs.where(t.normalize_whitespace("text") != "").select(*keys, F.struct(F.col("paragraph_no").alias("p"), F.lit(-1e18).alias("y"), F.lit(0).alias("n"), F.col("text").alias("m")).alias("__s"))
+    number = F.col("figure_no") if "figure_no" in placed.columns else F.lit(0)
+    rows = rows.unionByName(placed.select(*keys, F.struct(F.col("paragraph_no").alias("p"), F.col("y0").cast("double").alias("y"), number.alias("n"), F.col("markdown").alias("m")).alias("__s")))
     return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("__s")), lambda x: x["m"]), "\n\n").alias("markdown"))
 
 

@@ -23,6 +23,22 @@ class PageParser(Protocol):
     def pages(self, content: bytes, first: int, last: int) -> list[str]: ...
 
 
+class LayoutParser(PageParser, Protocol):
+    """A parser that also knows where things are on a page; sizes in points, boxes as (x0, y0, x1, y1)."""
+
+    def page_size(self, content: bytes, page: int) -> tuple[float, float]: ...
+
+    def blocks(self, content: bytes, page: int) -> list[tuple[int, tuple[float, float, float, float], str]]:
+        """(type, box, text) in reading order; type 0 is text."""
+
+    def rasters(self, content: bytes, page: int) -> list[tuple[float, float, float, float]]: ...
+
+    def vectors(self, content: bytes, page: int) -> list[tuple[float, float, float, float]]: ...
+
+    def render(self, content: bytes, page: int, box: tuple[float, float, float, float], scale: float) -> tuple[bytes, int, int] | None:
+        """(PNG, width, height), or None if the box is empty."""
+
+
 class FormFeedParser:
     """Parser for plain text whose pages end with form feeds; stands in where no PDF library is there."""
 
@@ -104,18 +120,83 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("image_no", F.row_number().over(Window.partitionBy("folder").orderBy(t.natural_key("image"))))
 
 
+def parse_blocks(files: DataFrame, parser: LayoutParser) -> DataFrame:
+    """Text blocks of all pages, numbered in reading order; images and blank blocks are left out."""
+
+    def work(batches):
+        for b in batches:
+            for key, content in zip(b["document_id"], b["content"]):
+                out = []
+                for page in range(1, parser.page_count(content) + 1):
+                    for i, (kind, box, text) in enumerate(parser.blocks(content, page)):
+                        if kind == 0 and text.strip():
+                            out.append((key, page, i, kind, *map(float, box), text))
+                yield pd.DataFrame(out, columns=["document_id", "page_no", "block_no", "block_type", "x0", "y0", "x1", "y1", "text"])
+
+    return files.select("document_id", "content").mapInPandas(work, schema.TEXT_BLOCKS)
+
+
+def _boxes(find, content: bytes, page: int) -> list:
+    """Boxes of one kind; a page whose boxes can't be found has none."""
+    try:
+        return list(find(content, page))
+    except Exception:
+        return []
+
+
+def parse_regions(files: DataFrame, parser: LayoutParser) -> DataFrame:
+    """Raster images, then clusters of drawings, of all pages, as ``clip`` takes them."""
+
+    def work(batches):
+        for b in batches:
+            for key, content in zip(b["document_id"], b["content"]):
+                out = []
+                for page in range(1, parser.page_count(content) + 1):
+                    size = tuple(map(float, parser.page_size(content, page)))
+                    found = [("raster", r) for r in _boxes(parser.rasters, content, page)] + [("vector", r) for r in _boxes(parser.vectors, content, page)]
+                    out += [(key, page, kind, i, *map(float, box), *size) for i, (kind, box) in enumerate(found)]
+                yield pd.DataFrame(out, columns=["document_id", "page_no", "kind", "region_no", "x0", "y0", "x1", "y1", "page_width", "page_height"])
+
+    return files.select("document_id", "content").mapInPandas(work, schema.REGIONS)
+
+
+def render_regions(files: DataFrame, regions: DataFrame, parser: LayoutParser, s: Settings = DEFAULT) -> DataFrame:
+    """(document_id, page_no, region_no, x0, y0, x1, y1, image, width, height) of what can be rendered.
+
+    A document's boxes go to its bytes, which move once however many figures
+    it has; figures leave one at a time.
+    """
+    boxes = F.array_sort(F.collect_list(F.struct("page_no", "region_no", "x0", "y0", "x1", "y1")))
+    met = files.select("document_id", "content").join(regions.groupBy("document_id").agg(boxes.alias("boxes")), "document_id")
+    names = ["document_id", "page_no", "region_no", "x0", "y0", "x1", "y1", "image", "width", "height"]
+
+    def work(batches):
+        for b in batches:
+            for key, content, own in zip(b["document_id"], b["content"], b["boxes"]):
+                for r in own:
+                    box = (r["x0"], r["y0"], r["x1"], r["y1"])
+                    made = sized(lambda scale, page=int(r["page_no"]), box=box: parser.render(content, page, box, scale), s)
+                    if made:
+                        yield pd.DataFrame([(key, r["page_no"], r["region_no"], *box, *made)], columns=names)
+
+    return met.mapInPandas(work, "document_id string, page_no int, region_no int, x0 double, y0 double, x1 double, y1 double, image binary, width int, height int")
+
+
+def sized(render, s: Settings = DEFAULT) -> tuple[bytes, int, int] | None:
+    """(png, width, height) from ``render(scale)``: twice the size, smaller if over the limit, None if tiny."""
+    made = render(2.0)
+    if made and max(made[1:]) > s.max_pixels:
+        made = render(2.0 * s.max_pixels / max(made[1:]))
+    return None if not made or min(made[1:]) < s.min_pixels else made
+
+
 def render_figures(regions: DataFrame, render, s: Settings = DEFAULT) -> DataFrame:
     """Adds ``image`` from ``render(row, scale) -> (png, width, height) | None``: twice the size, smaller if over the limit, null if tiny."""
     out_schema = T.StructType([*regions.schema.fields, T.StructField("image", T.BinaryType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
 
     def work(batches):
         for b in batches:
-            got = []
-            for row in b.to_dict("records"):
-                made = render(row, 2.0)
-                if made and max(made[1:]) > s.max_pixels:
-                    made = render(row, 2.0 * s.max_pixels / max(made[1:]))
-                got.append((None, None, None) if not made or min(made[1:]) < s.min_pixels else made)
+            got = [sized(lambda scale, row=row: render(row, scale), s) or (None, None, None) for row in b.to_dict("records")]
             yield b.assign(image=[g[0] for g in got], width=pd.array([g[1] for g in got], "Int32"), height=pd.array([g[2] for g in got], "Int32"))
 
     return regions.mapInPandas(work, out_schema)

@@ -123,7 +123,7 @@ def page_marker_asof(spark, sf_dir):
 def _rectangles(spark, sf_dir):
     e = lambda i: F.col("embedding")[i].cast("double")
     size = lambda i: F.round(20 + 3000 * F.abs(e(i)), 3)
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 25).alias("page_no"), F.round(500 + 1500 * e(0), 3).alias("x0"), F.round(500 + 1500 * e(1), 3).alias("y0"), size(2).alias("w"), size(3).alias("h"), (F.col("vec_id") % 3).alias("kind_no"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 40).alias("page_no"), F.round(500 + 1500 * e(0), 3).alias("x0"), F.round(500 + 1500 * e(1), 3).alias("y0"), size(2).alias("w"), size(3).alias("h"), (F.col("vec_id") % 3).alias("kind_no"))
     return rows.select("vec_id", F.lit("d").alias("document_id"), "page_no", F.col("vec_id").alias("region_no"), F.when(F.col("kind_no") == 0, "vector").otherwise("raster").alias("kind"), "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"), F.lit(1000.0).alias("page_width"), F.lit(1400.0).alias("page_height"))
 
 
@@ -140,7 +140,7 @@ def occurrence_limit(spark, sf_dir):
 
 def anchor_fill(spark, sf_dir):
     a = F.col("embedding")[0].cast("double")
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 25).alias("page_no"), F.when((a > 0) & (F.col("vec_id") % 7 != 3), F.round(a, 6)).alias("anchor"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 40).alias("page_no"), F.when((a > 0) & (F.col("vec_id") % 7 != 3), F.round(a, 6)).alias("anchor"))
     return figures.fill_anchors(rows, "anchor", "vec_id", ("page_no",)).select("vec_id", "page_no", "anchor")
 
 
@@ -152,11 +152,11 @@ def figure_placement(spark, sf_dir):
 
 
 def picture_run_cap(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("source").alias("document_id"), F.col("doc_id").alias("item_no"), F.col("lang").alias("page_key"), F.substring("text", 1, 40).alias("parent_text"), F.when(F.length("text") % 5 == 0, F.lit("")).otherwise(F.substring("text", 11, 20)).alias("description"))
-    # the description of each fifth text by length is blank; others may repeat their parent
-    out = chunking.picture_runs(rows.withColumn("description", F.when(F.col("item_no") % 2 == 0, F.upper("description")).otherwise(F.concat(F.lit("figure "), "description"))))
-    return out.select("document_id", F.col("item_no").alias("doc_id"), "run_id", "appended", "serialized")
+    # every line is a picture, six to a page; its description is the line itself, in capitals or after a word, or blank
+    lines = _docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("item_no", "parent_text"))
+    words = F.when(F.length("parent_text") % 5 == 0, F.lit("")).when(F.col("item_no") % 2 == 0, F.upper("parent_text")).otherwise(F.concat(F.lit("figure "), "parent_text"))
+    out = chunking.picture_runs(lines.withColumn("page_key", F.floor(F.col("item_no") / 6).cast("string")).withColumn("description", words))
+    return out.select(F.col("document_id").alias("doc_id"), F.col("item_no").cast("long").alias("item_no"), "run_id", "appended", "serialized")
 
 
 def figure_dedup(spark, sf_dir):
@@ -243,7 +243,7 @@ dq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHER
 ds AS (SELECT query_id, vec_id, round(list_cosine_similarity(qv, embedding::DOUBLE[]), 9) AS score FROM dq, embeddings),
 dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ds QUALIFY rank <= 30)"""
 _BOXES = """
-r0 AS (SELECT vec_id, vec_id % 25 AS page_no, CASE WHEN vec_id % 3 = 0 THEN 'vector' ELSE 'raster' END AS kind,
+r0 AS (SELECT vec_id, vec_id // 40 AS page_no, CASE WHEN vec_id % 3 = 0 THEN 'vector' ELSE 'raster' END AS kind,
   round(500 + 1500 * embedding[1]::DOUBLE, 3) AS x0, round(500 + 1500 * embedding[2]::DOUBLE, 3) AS y0,
   round(20 + 3000 * abs(embedding[3]::DOUBLE), 3) AS w, round(20 + 3000 * abs(embedding[4]::DOUBLE), 3) AS h FROM embeddings),
 r1 AS (SELECT vec_id, page_no, kind, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM r0),
@@ -294,18 +294,23 @@ ORACLE_SQL = {
       b AS (SELECT page_id, unnest(range(len(ls))) AS n FROM a),
       l AS (SELECT page_id, n * 2 AS line_no, (n + 2) // 3 AS m FROM b WHERE n % 3 = 1 UNION ALL SELECT page_id, n * 2 + 1, NULL FROM b)
       SELECT page_id, line_no, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS page_no FROM l""",
-    "anchor_fill": """WITH a AS (SELECT vec_id, vec_id % 25 AS page_no, CASE WHEN embedding[1] > 0 AND vec_id % 7 <> 3 THEN round(embedding[1]::DOUBLE, 6) END AS x FROM embeddings)
+    "anchor_fill": """WITH a AS (SELECT vec_id, vec_id // 40 AS page_no, CASE WHEN embedding[1] > 0 AND vec_id % 7 <> 3 THEN round(embedding[1]::DOUBLE, 6) END AS x FROM embeddings)
       SELECT vec_id, page_no, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY page_no ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
         first_value(x IGNORE NULLS) OVER (PARTITION BY page_no ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0.0) AS anchor FROM a""",
     "figure_filters": "WITH " + _BOXES + """ SELECT vec_id, page_no, kind, round(x0, 3) AS x0, round(y0, 3) AS y0, round(x1, 3) AS x1, round(y1, 3) AS y1,
       row_number() OVER (PARTITION BY page_no ORDER BY y0, x0, vec_id) AS figure_no FROM r3 WHERE least(w, h) >= 80 AND greatest(w / h, h / w) <= 8 AND w * h <= 0.95 * 1000 * 1400""",
     "occurrence_limit": "SELECT doc_id, md5(text) AS image_hash, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS occurrence FROM documents QUALIFY occurrence <= 3",
     "figure_placement": "WITH " + _BOXES + " SELECT v.vec_id, v.page_no, coalesce(max(p.vec_id), -1) AS paragraph_no FROM r1 v LEFT JOIN r1 p ON p.kind = 'raster' AND p.page_no = v.page_no AND p.y0 <= v.y0 WHERE v.kind = 'vector' GROUP BY ALL",
-    "picture_run_cap": """WITH a AS (SELECT source AS document_id, doc_id, lang, substring(text, 1, 40) AS p, CASE WHEN length(text) % 5 = 0 THEN '' ELSE substring(text, 11, 20) END AS d0 FROM documents),
-      b AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN upper(d0) ELSE 'figure ' || d0 END AS d, CASE WHEN lag(lang) OVER o IS NOT DISTINCT FROM lang THEN 0 ELSE 1 END AS ch FROM a WINDOW o AS (PARTITION BY document_id ORDER BY doc_id)),
-      c AS (SELECT *, sum(ch) OVER (PARTITION BY document_id ORDER BY doc_id)::BIGINT AS run_id, d <> '' AND NOT contains(replace(lower(p), 'ß', 'ss'), replace(lower(d), 'ß', 'ss')) AS may FROM b),
-      e AS (SELECT *, may AND sum(may::INT) OVER (PARTITION BY document_id, run_id ORDER BY doc_id) <= 2 AS appended FROM c)
-      SELECT document_id, doc_id, run_id, appended, concat_ws(chr(10), nullif(p, ''), CASE WHEN appended THEN 'Image description: ' || d END) AS serialized FROM e""",
+    "picture_run_cap": """WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(range(len(string_split(text, chr(10))))) AS item_no FROM documents),
+      b AS (SELECT *, CASE WHEN length(p) % 5 = 0 THEN '' WHEN item_no % 2 = 0 THEN upper(p) ELSE 'figure ' || p END AS d, item_no // 6 + 1 AS run_id FROM a),
+      c AS (SELECT *, d <> '' AND NOT contains(replace(lower(p), 'ß', 'ss'), replace(lower(d), 'ß', 'ss')) AS may FROM b),
+      e AS (SELECT *, may AND sum(may::INT) OVER (PARTITION BY doc_id, run_id ORDER BY item_no) <= 2 AS appended FROM c)
+      SELECT doc_id, item_no, run_id, appended, concat_ws(chr(10), nullif(p, ''), CASE WHEN appended THEN 'Image description: ' || d END) AS serialized FROM e""",
+    "figure_dedup": "WITH " + _BOXES + """,
+      a AS (SELECT page_no, list({'id': vec_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1} ORDER BY kind = 'vector', vec_id) AS rs FROM r3 GROUP BY page_no),
+      k AS (SELECT page_no, unnest(list_reduce(rs, lambda kept, r: CASE WHEN len(list_filter(kept, lambda o: least(o.x1, r.x1) > greatest(o.x0, r.x0) AND least(o.y1, r.y1) > greatest(o.y0, r.y0)
+        AND (least(o.x1, r.x1) - greatest(o.x0, r.x0)) * (least(o.y1, r.y1) - greatest(o.y0, r.y0)) / least((o.x1 - o.x0) * (o.y1 - o.y0), (r.x1 - r.x0) * (r.y1 - r.y0)) > 0.9)) > 0 THEN kept ELSE list_append(kept, r) END, rs[1:0])) AS r FROM a)
+      SELECT page_no, r.id AS vec_id, round(r.x0, 3) AS x0, round(r.y0, 3) AS y0, round(r.x1, 3) AS x1, round(r.y1, 3) AS y1 FROM k""",
     "context_prompt": "WITH " + _BM25 + "," + _ENTRIES + """ SELECT b.item_id AS query_id, 'Answer the user''s question using only the context below.' || chr(10) || chr(10) || 'Question:' || chr(10) || any_value(b.text) || chr(10) || chr(10) || 'Context:' || chr(10) ||
       string_agg(head || chr(10) || e.text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'If the answer is not fully supported by the context, say so clearly.' AS prompt FROM benchmark b JOIN e ON e.query_id = b.item_id GROUP BY b.item_id""",
     "citation": "WITH " + _BM25 + "," + _ENTRIES + " SELECT query_id, rank, head AS source FROM e",

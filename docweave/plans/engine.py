@@ -13,6 +13,7 @@ from docweave.functions import text as t
 from docweave.functions.lineage import cut
 from docweave.models import ExtractiveGenerator, HashedEncoder, OverlapReranker
 from docweave.operators import chunking, dense, fusion, prompts, sparse, structure
+from docweave.plans import enrich
 from docweave.plans.catalog import CacheStatus, Catalog, changed, manifest_of
 from docweave.sources import readers
 
@@ -26,15 +27,19 @@ class Ingested:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, folder: str, parser=None, encoder=None, reranker=None, generator=None, settings: Settings = DEFAULT):
+    def __init__(self, spark: SparkSession, folder: str, parser=None, encoder=None, reranker=None, generator=None, settings: Settings = DEFAULT, captioner=None):
         self.spark, self.catalog, self.s = spark, Catalog(spark, folder.rstrip("/")), settings
-        self.parser, self.encoder = parser, encoder or HashedEncoder()
+        self.parser, self.captioner, self.encoder = parser, captioner, encoder or HashedEncoder()
         self.reranker, self.generator = reranker or OverlapReranker(), generator or ExtractiveGenerator()
 
     # ingestion
 
     def ingest(self, path: str, process_vision: bool = True, force: bool = False, images: DataFrame | None = None, image_hash: str | None = None, pattern: str = "*.[pP][dD][fF]", image_chunks: bool = True) -> Ingested:
-        """Indexes the documents at ``path``; unchanged ones are taken over from the current generation."""
+        """Indexes the documents at ``path``; unchanged ones are taken over from the current generation.
+
+        Image chunks come from ``images``, or with ``process_vision`` from the
+        captioner, if there is one and the parser knows where figures are.
+        """
         files = readers.read_files(self.spark, path, pattern)
         wanted = manifest_of(files, process_vision, image_hash, self.s.schema_version)
         if not wanted.limit(1).count():
@@ -47,8 +52,11 @@ class Engine:
             chunks = self.catalog.table(now, "chunks")
             return Ingested(wanted.count(), chunks.count(), chunks.where("source_type = 'image'").count(), True)
         names = F.broadcast(fresh.select(F.col("document_name").alias("document_id"))) if n <= 100_000 else fresh.select(F.col("document_name").alias("document_id"))
-        pages = readers.parse_pages(files.join(names, "document_id", "left_semi"), self.parser, True, self.s)
+        files = files.join(names, "document_id", "left_semi")
+        pages = readers.parse_pages(files, self.parser, True, self.s)
         rows = chunking.chunk_records(structure.markdown_items(pages, self.s), self.s)
+        if images is None and process_vision and self.captioner is not None and hasattr(self.parser, "render"):
+            images = cut(enrich.picture_records(files, self.parser, self.captioner, self.s))
         if images is not None and image_chunks:
             rows = rows.unionByName(chunking.image_records(images, self.s))
         generation = self.catalog.new()

@@ -70,6 +70,22 @@ def captioned(found: DataFrame, captioner) -> DataFrame:
     return rows.select("document_id", "image", own.alias("description"))
 
 
+def picture_records(files: DataFrame, parser, captioner, s: Settings = DEFAULT) -> DataFrame:
+    """Described figures as ``chunking.image_records`` takes them, numbered from 0 within each document.
+
+    Small pictures are left out; one without a model's words gets a sentence
+    that says where it's from.
+    """
+    found = named_figures(readers.render_regions(files, figure_regions(readers.parse_regions(files, parser), s), parser, s), s)
+    seen = found.select("document_id", "page_no", "figure_no", "file", "width", "height", captioner.describe(F.col("image")).alias("c"))
+    number = F.row_number().over(Window.partitionBy("document_id").orderBy("page_no", "figure_no")) - 1
+    rows = cut(seen.select("document_id", "page_no", "figure_no", "file", "width", "height", "c.description", "c.error")).withColumn("image_id", number)
+    rows = figures.poison_after(rows, "image_id").withColumn("caption", F.lit(None).cast("string")).withColumn("page_numbers", F.array("page_no"))
+    own = figures.describe_pictures(rows.drop("description", "error"), rows.select("document_id", "image_id", "description"), s)
+    pages = F.transform("page_numbers", lambda p: p.cast("string"))
+    return own.select(F.col("document_id").alias("document_name"), F.col("image_id").alias("image_no"), "image_id", F.col("file").alias("image_path"), "description", pages.alias("page_numbers"))
+
+
 def enrich(spark: SparkSession, path: str, out: str, parser, captioner=None, pattern: str = "*.[pP][dD][fF]", s: Settings = DEFAULT) -> DataFrame:
     """Writes ``figures``, ``images``, ``image_metadata`` and ``markdown`` below ``out``, in place of what an earlier run left; returns the Markdown.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docweave.functions import text as t
 from docweave.models import FunctionCaptioner
 from docweave.plans import enrich
+from docweave.plans.engine import Engine
 
 
 def parser_of_json():
@@ -82,6 +83,28 @@ def test_markdown_path(spark, tmp_path):
     assert records["page_1_img_1.png"]["bbox"] == [50, 100, 350, 300] and records["page_1_img_1.png"]["description"] == "a *map* of png 600x400"
 
 
+def test_engine_with_vision(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_text(json.dumps(DOCUMENT))
+
+    def load():
+        def describe(content):
+            return "" if content == b"png 400x400" else "a map of " + content.decode()
+
+        return describe
+
+    engine = Engine(spark, f"{tmp_path}/index", parser_of_json(), captioner=FunctionCaptioner(load))
+    assert engine.ingest(f"{tmp_path}/in").images == 3
+    chunks = engine.catalog.table(engine.catalog.current(), "chunks").where("source_type = 'image'").orderBy("id").collect()
+    assert [(r.raw_text, r.page_numbers, r.metadata.image_path) for r in chunks] == [
+        ("Image description from a. Image 0. a map of png 600x400", [1], "page_1_img_1.png"),
+        ("Image description from a. Image 1. Figure 2 extracted from page(s) 1.", [1], "page_1_img_2.png"),
+        ("Image description from a. Image 2. Figure 3 extracted from page(s) 3.", [3], "page_3_img_1.png"),
+    ]
+    assert engine.ingest(f"{tmp_path}/in").cached
+    assert engine.ingest(f"{tmp_path}/in", process_vision=False).images == 0
+
+
 def test_repeats_and_broken_devices(spark):
     rows = [("d", p, 0, 0.0, 0.0, 100.0, 100.0, b"logo" if p != 3 else b"chart", 10, 10) for p in range(1, 7)]
     found = enrich.named_figures(spark.createDataFrame(rows, "document_id string, page_no int, region_no int, x0 double, y0 double, x1 double, y1 double, image binary, width int, height int"))

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import exact_dedup, language_id, packing, simhash, toxicity
+from docweave.llm import exact_dedup, language_id, packing, shingles, simhash, toxicity
 from docweave.llm.common import scratch
 
 
@@ -33,8 +33,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of linked fingerprints."""
-    return simhash.keep_one(docs)
+    """One document, that with the smallest id, of each group linked by fingerprints or by 5-word shingles."""
+    return simhash.keep_one(docs, similar=shingles.SIMILAR)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

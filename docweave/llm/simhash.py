@@ -182,7 +182,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float | None = None) -> DataFrame:
     """(id, fp long, component_id, root long), a row for each input row.
 
     ``root`` is the component's fingerprint that names it; ``component_id`` is the smallest id reachable over links of at most two
@@ -191,10 +191,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked like any other. Equal fingerprints are merged before the tables
     are made, so copies cost nothing there; rows meet their component in
     joins of narrow rows that Spark can split. Other columns are ignored.
+    With ``similar``, texts whose 5-word shingles have at least that Jaccard
+    similarity are linked too, however many bits they differ by.
     """
     rows = cut(fingerprints(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), "__id", "__t"))
     distinct = cut(rows.groupBy("fp").agg(F.min("__id").alias("least")))
-    roots = connected_components(cut(links(distinct)))
+    found = links(distinct)
+    if similar is not None:
+        from docweave.llm import shingles
+
+        found = found.union(shingles.links(docs, fingerprint, text_col, similar))
+    roots = connected_components(cut(found))
     met = cut(distinct.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least"))
     labels = cut(met.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component")))
     linked = met.join(labels, F.col("root") == F.col("r")).select(F.col("fp").alias("__fp"), "component", "root")
@@ -204,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("__id").alias(id_col), "fp", F.col("component").alias("component_id"), "root")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float | None = None) -> DataFrame:
     """The rows of ``docs``, with their columns, one of each component: that with the smallest id.
 
     Of rows that share that id, the one with the smallest fingerprint stays,
@@ -213,7 +220,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     from docweave.llm.exact_dedup import keep_rows
 
-    rows = cut(near_duplicates(docs, id_col, text_col)).withColumn("rid", F.monotonically_increasing_id())
+    rows = cut(near_duplicates(docs, id_col, text_col, similar)).withColumn("rid", F.monotonically_increasing_id())
     part = F.when(F.col("component_id").isNull(), F.lit(True)).otherwise(F.col(id_col) == F.col("component_id"))
     first = cut(rows.where(part).groupBy("root").agg(F.min(F.struct("fp", "rid")).alias("first")))
     chosen = first.select("first.rid").withColumn("kept", F.lit(True))

@@ -185,6 +185,51 @@ def test_links_of_dense_clusters(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def plain_similar(a, b):
+    """Jaccard similarity of the lower-cased 5-word shingles."""
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_beyond_the_radius(spark):
+    """A loose group, two texts far from it, short texts and copies: groups equal those of comparing all pairs."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = ["two words", "Two  words", "other words", "", " "]
+    for _ in range(4):
+        base = [word() for _ in range(150)]
+        for edits in (0, 1, 2, 3, 4, 6, 8, 12, 3, 2):
+            own = list(base)
+            for at in rng.sample(range(150), edits):
+                own[at] = word()
+            texts.append(" ".join(own))
+    texts.append(texts[-1])
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    fps = [plain_fingerprint(t) for t in texts]
+    beyond = 0
+    for i, t in enumerate(texts):
+        for j in range(i):
+            alike, near = bool(t.split()) and bool(texts[j].split()) and plain_similar(t, texts[j]) >= 0.8, (fps[i] ^ fps[j]).bit_count() <= 2
+            beyond += alike and not near
+            if alike or near:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    assert beyond > 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = simhash.near_duplicates(docs, similar=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in range(len(texts))}
+    left = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted({find(i) for i in range(len(texts))})
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(300)] + [(5000, 5000)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -2,10 +2,11 @@
 
 A snapshot's distinct digests are cut into buckets; each bucket gets a
 binary-fuse filter (three places a key, 8-bit fingerprints, about 9 bits a
-key). Incoming digests are screened by their bucket's filter: negatives are
-new, positives meet the snapshot's rows in an exact join on the digest where
-the texts' bytes are compared. Duplicates inside the new batch are grouped
-separately, and the smallest id of a group of equal texts stays.
+key). The new batch is grouped by itself and its digests are screened by
+their bucket's filter: negatives are whole groups, positives meet the
+snapshot's groups in an exact join on the digest. The texts' bytes are
+compared within every group, and the smallest id of a group of equal texts
+stays.
 """
 
 from __future__ import annotations
@@ -191,9 +192,32 @@ def _rows_of(base: DataFrame, snapshot: Snapshot, digests: DataFrame) -> DataFra
     return base.join(snapshot.positives(digests), "sha", "left_semi")
 
 
-def _extremes(rows: DataFrame, name: str) -> DataFrame:
-    """The least and greatest text of each digest: equal if all its texts are. Merged before the shuffle."""
-    return rows.groupBy(F.col("sha").alias(f"{name}_sha")).agg(F.min("norm").alias(f"{name}_lo"), F.max("norm").alias(f"{name}_hi"))
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Digests whose texts' bytes aren't all equal. Merged before the shuffle."""
+    return rows.groupBy("sha").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi")
+
+
+def _groups(thin: DataFrame) -> DataFrame:
+    """(__sha, first, group_size) of each group of equal digests.
+
+    The new batch is grouped by itself and screened by the snapshot's
+    filters: a negative group is whole, a positive one meets the snapshot's
+    exact buckets. Both joins are of rows distinct in the digest.
+    """
+    first = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), F.col("rid").alias("rid"))).alias("first")
+    grouped = lambda rows: cut(rows.groupBy("sha").agg(first, F.count(F.lit(1)).alias("group_size")))
+    old, new = grouped(thin.where("__old")), grouped(thin.where("NOT __old"))
+    snapshot = Snapshot.of(old)
+    if snapshot.small():
+        screened = cut(new.withColumn("maybe", snapshot.screen(F.col("sha"))))
+    else:
+        hits = snapshot.positives(new).withColumn("maybe", F.lit(True))
+        screened = cut(new.join(hits, "sha", "left").withColumn("maybe", F.coalesce("maybe", F.lit(False))))
+    negative = screened.where("NOT maybe").select(F.col("sha").alias("__sha"), "first", "group_size")
+    positive = screened.where("maybe").select("sha", F.col("first").alias("new_first"), F.col("group_size").alias("new_size"))
+    size = F.coalesce("group_size", F.lit(0)) + F.coalesce("new_size", F.lit(0))
+    met = old.join(positive, "sha", "full").select(F.col("sha").alias("__sha"), F.least("first", "new_first").alias("first"), size.alias("group_size"))
+    return negative.union(met)
 
 
 def dedup(docs: DataFrame, in_snapshot: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,20 +235,14 @@ def dedup(docs: DataFrame, in_snapshot: Column | None = None, id_col: str = "doc
     if in_snapshot is None:
         in_snapshot = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(2)) == 0
     base = docs.select(F.col(id_col).alias("__id"), F.coalesce(in_snapshot, F.lit(False)).alias("__old"), normalised(F.col(text_col)).alias("norm")).withColumn("sha", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
-    thin = cut(base.select("__id", "__old", "sha"))
-    old, new = thin.where("__old"), thin.where("NOT __old")
-    snapshot = Snapshot.of(old)
-    hits = cut(snapshot.positives(new))
-    back = Snapshot.of(hits)
-    # exact buckets: only positives and the snapshot's rows that they may equal carry texts
-    left = _extremes(_rows_of(base.where("NOT __old"), back, hits), "new")
-    right = _extremes(_rows_of(base.where("__old"), back, hits), "old")
-    bad = left.join(right, F.col("new_sha") == F.col("old_sha")).where("NOT (new_lo = new_hi AND old_lo = old_hi AND new_lo = old_lo)")
-    if bad.limit(1).count():
-        thin = cut(base.select("__id", "__old", F.concat("sha", F.unhex(F.md5(F.col("norm").cast("binary")))).alias("sha")))
-    rows = thin.withColumn("rid", F.monotonically_increasing_id())
-    first = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), F.col("rid").alias("rid"))).alias("first")
-    groups = cut(rows.groupBy(F.col("sha").alias("__sha")).agg(first, F.count(F.lit(1)).alias("group_size")))
+    rid = F.monotonically_increasing_id().alias("rid")
+    rows = cut(base.select("__id", "__old", "sha", rid))
+    groups = cut(_groups(rows))
+    # only rows that share a digest carry texts, wherever their copies lie
+    several = cut(groups.where("group_size > 1").select(F.col("__sha").alias("sha")))
+    if _mixed(_rows_of(base, Snapshot.of(several), several)).limit(1).count():
+        rows = cut(base.select("__id", "__old", F.concat("sha", F.unhex(F.md5(F.col("norm").cast("binary")))).alias("sha"), rid))
+        groups = cut(_groups(rows))
     out = rows.join(groups, F.col("sha") == F.col("__sha"))
     return out.select(F.col("__id").alias(id_col), "sha", "rid", F.col("first.id").alias("keep_id"), "group_size", (F.col("first.rid") == F.col("rid")).alias("kept"))
 

@@ -92,6 +92,31 @@ def test_exact_dedup(spark, odd_docs, no_docs, by_bucket, monkeypatch):
     assert exact_dedup.dedup(no_docs).collect() == []
 
 
+def test_filters_decide(spark, monkeypatch):
+    """Without positives no new text meets the snapshot; copies of the new batch alone are grouped all the same."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(0, "a"), (1, "a"), (2, "a"), (3, "b"), (5, "b"), (4, "c")], "doc_id long, text string")
+    old = F.col("doc_id") % 2 == 0
+    groups = lambda: {(r["keep_id"], r["group_size"]) for r in exact_dedup.dedup(docs, old).collect()}
+    assert groups() == {(0, 3), (3, 2), (4, 1)}
+    monkeypatch.setattr(exact_dedup.Snapshot, "screen", lambda self, digest: digest.isNull())
+    monkeypatch.setattr(exact_dedup, "_rows_of", lambda base, *_: base)
+    assert groups() == {(0, 2), (1, 1), (3, 2), (4, 1)}
+
+
+@pytest.mark.parametrize("old", [0, 1, 2])
+def test_bytes_are_compared_in_every_group(spark, old, monkeypatch):
+    """Texts that share a digest stay apart, both in the snapshot, both new, or one in each."""
+    from pyspark.sql import functions as F
+
+    sha2 = F.sha2
+    monkeypatch.setattr(F, "sha2", lambda col, bits: sha2(F.substring(col, 1, 1), bits))
+    docs = spark.createDataFrame([(0, "a1"), (1, "a2"), (2, "b"), (3, "b")], "doc_id long, text string")
+    got = exact_dedup.dedup(docs, F.col("doc_id") < old).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in got} == {0: (0, 1), 1: (1, 1), 2: (2, 2), 3: (2, 2)}
+
+
 @pytest.mark.parametrize("few", [1_000_000, -1])
 def test_keep_rows(spark, odd_docs, few, monkeypatch):
     monkeypatch.setattr(exact_dedup, "BROADCAST_IDS", few)

@@ -22,9 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language: null and letterless texts go."""
+    """Documents near enough to a learned language; null and letterless texts score 0."""
     profiles = language_id.fit_profiles(docs.where(~language_id.held_out("doc_id", 3, 1)))
-    return docs.where(language_id.language_of(profiles, F.col("text"))["lang"] != "und")
+    return docs.where(language_id.language_of(profiles, F.col("text"))["score"] >= language_id.LEAST_SCORE)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -391,6 +391,20 @@ def test_pipeline_stages(spark, sf):
     check_packed(stages["packing"](spark, docs, sf).collect(), [(i, r["text"]) for i, r in before.items()])
 
 
+def test_unlike_languages_go(spark, sf):
+    """Texts in languages and scripts that no profile has are rejected; all others stay."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    other = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах", "人人生而自由 在尊严和权利上一律平等",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar", "123 !", None,
+    ]
+    odd = spark.createDataFrame([(-1 - i, t, None, "s", 0) for i, t in enumerate(other)], docs.schema)
+    left = corpus_pipeline.drop_unknown_language(spark, docs.union(odd), sf)
+    assert {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in docs.collect()}
+
+
 def test_pipeline_on_odd_rows(spark, odd_docs, no_docs, sf):
     import corpus_pipeline
 

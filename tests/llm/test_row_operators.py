@@ -180,6 +180,22 @@ def test_toxicity_held_out(spark, sf):
     assert sum(r["predicted"] and not labels[r["doc_id"]] for r in held) <= 0.03 * len(held)
 
 
+def test_only_near_copies_count_once(spark):
+    """Texts that share a passage count each when the lexicon is learned; near copies of one text count once."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    some = lambda n: " ".join(word() for _ in range(n))
+    shared, copied = some(36), some(80)
+    rows = [(i, f"{shared} {some(11)} {'zuzuk' if i % 2 else word()} {some(12)}", i % 2) for i in range(24)]
+    rows += [(100 + i, f"{copied} vuvuk {word()}", 1) for i in range(24)] + [(200 + i, some(40), 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5)
+    lexicon = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).lexicon
+    assert any("zuzuk".startswith(e.rstrip("*")) for e in lexicon)
+    assert not any("vuvuk".startswith(e.rstrip("*")) for e in lexicon)
+    alone = toxicity._alone(docs.withColumnRenamed("doc_id", "__id").coalesce(1).localCheckpoint()).collect()
+    assert sorted(r["text"] for r in alone) == sorted(t for i, t, _ in rows if not 100 < i < 200)
+
+
 def test_toxicity_edge_cases(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int, text string")
     labels = spark.createDataFrame([(i, i % 2, "x") for i in range(23)] + [(None, 1, None), (3, None, None), (5, 1, "t")], "doc_id long, toxic int, text string")

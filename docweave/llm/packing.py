@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import cut, stored
@@ -293,9 +293,13 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 204
     return own.mapInArrow(work, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids binary, part int, rank long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
     """(id, piece, start, length, ids binary, sequence_id, offset), a row for each piece.
 
+    ``carry`` names columns that take the place of ``ids`` and are computed
+    from it where the pieces are read, so that what a join has to move when
+    the counts are too many to broadcast is as narrow as the caller's needs.
+
     Pieces are written once to the shared folder. The driver gets one count a
     length and makes the plan; a piece finds its place from its rank among
     all pieces of its length. Ranks are those within the partition plus the
@@ -307,6 +311,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
 
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
+    carry = {"ids": F.col("ids")} if carry is None else carry
     made = stored(pieces(own, tokenizer, end_id, capacity, "__id", "__t"), "pieces")
     counts = made.groupBy(F.col("part").alias("p"), F.col("length").alias("l")).agg(F.count(F.lit(1)).alias("n"))
     counts = cut(counts)
@@ -315,7 +320,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
     before = F.coalesce(F.sum("n").over(Window.partitionBy("l").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = cut(counts.select("p", "l", before.alias("base")))
     few = bases.count() <= BROADCAST_ROWS
-    ranked = made.join(F.broadcast(bases) if few else bases, (F.col("part") == F.col("p")) & (F.col("length") == F.col("l")))
+    thin = made.select("__id", "piece", "start", "length", "part", "rank", *[c.alias(n) for n, c in carry.items()])
+    ranked = thin.join(F.broadcast(bases) if few else bases, (F.col("part") == F.col("p")) & (F.col("length") == F.col("l")))
 
     from pyspark.sql.functions import pandas_udf
 
@@ -327,4 +333,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     out = ranked.withColumn("__at", place(F.col("length"), F.col("base") + F.col("rank")))
-    return out.select(F.col("__id").alias(id_col), "piece", "start", "length", "ids", F.col("__at.sequence_id").alias("sequence_id"), F.col("__at.offset").alias("offset"))
+    return out.select(F.col("__id").alias(id_col), "piece", "start", "length", *carry, F.col("__at.sequence_id").alias("sequence_id"), F.col("__at.offset").alias("offset"))

@@ -247,7 +247,7 @@ def dedup(docs: DataFrame, in_snapshot: Column | None = None, id_col: str = "doc
     return out.select(F.col("__id").alias(id_col), "sha", "rid", F.col("first.id").alias("keep_id"), "group_size", (F.col("first.rid") == F.col("rid")).alias("kept"))
 
 
-#: Dropped ids up to this many are broadcast (8 bytes each).
+#: Dropped ids up to this many are broadcast (8 bytes each if they are integers, as doc_id is).
 BROADCAST_IDS = 1_000_000
 
 
@@ -255,15 +255,16 @@ def keep_rows(docs: DataFrame, decided: DataFrame, key: str, key_of: Column, id_
     """The rows of ``docs`` that ``decided`` keeps, with their columns.
 
     ``decided`` has (id, ``key``, kept) for each row; ``key_of`` computes
-    ``key`` from a row of ``docs``. With unique ids and few dropped rows the
-    dropped ids are broadcast and no text is shuffled; otherwise rows meet on
-    id and key, and of rows equal in both as many stay as were kept.
+    ``key`` from a row of ``docs``. With unique ids the dropped ids decide,
+    broadcast while they are few; then no text is shuffled. With null or
+    repeated ids, rows meet on id and key, and of rows equal in both as many
+    stay as were kept.
     """
     decided = cut(decided.select(F.col(id_col).alias("__kid"), F.col(key).alias("__key"), F.col("kept")))
     dropped = decided.where("NOT kept").select("__kid")
     few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    if few and decided.where("__kid IS NULL").limit(1).count() == 0 and decided.groupBy("__kid").count().where("count > 1").limit(1).count() == 0:
-        return docs.join(F.broadcast(dropped), F.col(id_col) == F.col("__kid"), "left_anti")
+    if decided.groupBy("__kid").count().where("count > 1 OR __kid IS NULL").limit(1).count() == 0:
+        return docs.join(F.broadcast(dropped) if few else dropped, F.col(id_col) == F.col("__kid"), "left_anti")
     from pyspark.sql import Window
 
     stay = decided.where("kept").groupBy("__kid", "__key").agg(F.count(F.lit(1)).alias("__n"))

@@ -216,9 +216,31 @@ def plain_similar(a, b):
     return len(a & b) / len(a | b)
 
 
-def test_near_copies_beyond_the_radius(spark):
-    """A loose group, two texts far from it, short texts and copies: groups equal those of comparing all pairs."""
+def plain_survivors(texts):
+    """The smallest id of each group linked by two bits or by 5-word shingles of Jaccard similarity 0.8."""
+    parent = {i: i for i in texts}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids, fps = sorted(texts), {i: plain_fingerprint(t) for i, t in texts.items()}
+    for at, i in enumerate(ids):
+        for j in ids[:at]:
+            if (fps[i] ^ fps[j]).bit_count() <= 2 or (texts[i] or "").split() and (texts[j] or "").split() and plain_similar(texts[i], texts[j]) >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {find(i) for i in ids}
+
+
+@pytest.mark.parametrize("cell", [1 << 24, 4000])
+def test_near_copies_beyond_the_radius(spark, cell, monkeypatch):
+    """Loose groups, short texts and copies, in whole cells and in grids: groups equal those of comparing all pairs."""
     import corpus_pipeline
+    from docweave.llm import shingles
+
+    monkeypatch.setattr(shingles, "CELL_BYTES", cell)
 
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
@@ -304,6 +326,23 @@ def test_packing_of_documents(spark, sf):
     assert n <= best_fit([r["length"] for r in rows], 2048) * 1.01 + 1
 
 
+def test_large_joins_move_no_ids(spark, sf, monkeypatch):
+    """Where the counts aren't broadcast, the query's join has the digest in place of the ids."""
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", -1)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    made = queries.op9_packing(spark, sf)
+    check_packed(made.collect(), docs)
+    plan = made._jdf.queryExecution().optimizedPlan()
+    found = []
+    walk = [plan]
+    while walk:
+        node = walk.pop()
+        if node.nodeName() == "Join":
+            found += [str(node.output().apply(i).dataType().typeName()) for i in range(node.output().size())]
+        walk += [node.children().apply(i) for i in range(node.children().size())]
+    assert found and "binary" not in found
+
+
 def best_fit(lengths, capacity):
     gaps = Counter()
     n = 0
@@ -382,11 +421,7 @@ def test_pipeline_stages(spark, sf):
             groups = plain_groups((i, r["text"]) for i, r in before.items())
             assert now == {min(v) for v in groups.values()}
         else:
-            roots = plain_components(plain_fingerprint(r["text"]) for r in before.values())
-            first = {}
-            for i in sorted(before):
-                first.setdefault(roots[plain_fingerprint(before[i]["text"])], i)
-            assert now == set(first.values())
+            assert now == plain_survivors({i: r["text"] for i, r in before.items()})
         before = {i: r for i, r in before.items() if i in now}
     check_packed(stages["packing"](spark, docs, sf).collect(), [(i, r["text"]) for i, r in before.items()])
 

@@ -22,6 +22,8 @@ TRAIN_DOCS = 4000
 #: sentences in Finnish, Polish, Turkish and Hungarian score 0.22 to 0.29, other scripts 0.
 LEAST_SCORE = 0.33
 
+#: N-grams that are held before they are counted.
+HELD = 1 << 20
 _BITS = 21
 _letters: np.ndarray | None = None
 
@@ -116,14 +118,25 @@ def fit_profiles(rows: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     def count(batches):
         totals: dict[str, dict[int, int]] = {}
-        for b in batches:
-            parts: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                parts.setdefault(lang, []).append(ngrams(text))
+        parts: dict[str, list[np.ndarray]] = {}
+        held = 0
+
+        def fold():
             for lang, codes in parts.items():
                 mine = totals.setdefault(lang, {})
                 for c, n in zip(*(x.tolist() for x in np.unique(np.concatenate(codes), return_counts=True))):
                     mine[c] = mine.get(c, 0) + n
+            parts.clear()
+
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+                codes = ngrams(text.as_py())
+                parts.setdefault(lang, []).append(codes)
+                held += len(codes)
+                if held > HELD:
+                    fold()
+                    held = 0
+        fold()
         for lang, mine in totals.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(mine), "code": pa.array(mine.keys(), pa.int64()), "n": pa.array(mine.values(), pa.int64())})
 

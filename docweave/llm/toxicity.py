@@ -10,6 +10,7 @@ as one more voter.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,9 +22,9 @@ from docweave.llm.common import cut
 
 #: Expected labelled rows of each class that a model is fitted on.
 TRAIN_ROWS = 5000
-#: Most lexicon voters that labels may suggest.
+#: Most lexicon voters that labels may suggest: the size of the model. Those of greatest surprise are taken.
 VOTERS = 96
-#: Letters of the word beginnings that may become voters.
+#: Letters of the word beginnings that may become voters, besides whole words.
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 #: Jaccard similarity of 5-word shingles from which rows of a class count once for the lexicon: loose copies repeat words too.
@@ -33,11 +34,11 @@ SEEDS = "idiot moron stupid dumb loser pathetic worthless scum trash disgusting
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def entries(text: str) -> set[str]:
-    """Lexicon candidates of a text: its words, and ``xxxx*`` for longer words' beginnings."""
+def entries(text: str, prefixes: tuple[int, ...] = PREFIXES) -> Counter:
+    """Lexicon candidates of a text with the different words that each matches: its words, and ``xxxx*`` for longer words' beginnings."""
     words = set(_WORD.findall(text.lower()))
-    out = {w for w in words if len(w) <= 24}
-    for n in PREFIXES:
+    out = Counter(words)
+    for n in prefixes:
         out.update(w[:n] + "*" for w in words if len(w) > n)
     return out
 
@@ -171,9 +172,14 @@ def text_hash(text: str) -> int:
     return xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, voters: int = VOTERS, prefixes: tuple[int, ...] = PREFIXES) -> Model:
     """A model from labelled rows (``labels`` holds those that may be learned from).
 
+    An entry that at least two toxic texts have may vote if its share of
+    toxic words is a surprise: counted are pairs of a text and a different
+    word in it that the entry matches, against all such pairs. So a few
+    texts are enough where each has many words of one beginning.
+
     About ``train_rows`` rows of each class, drawn by a hash of the id, are
     joined with their texts; the drawn ids, whose number that parameter
     bounds, are broadcast. Null labels, ids and texts are left out. Without
@@ -190,27 +196,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = cut(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(drawn), "__id").select("text", "toxic", "__id"))
 
     def count(batches):
-        seen: dict[str, list[int]] = {}
+        seen: dict[str, list[int]] = {}  # clean and toxic texts, clean and toxic words
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for e in entries(text):
-                    seen.setdefault(e, [0, 0])[toxic] += 1
-        yield pa.RecordBatch.from_pydict({"entry": pa.array(seen.keys(), pa.string()), "clean": pa.array([v[0] for v in seen.values()], pa.int64()), "toxic": pa.array([v[1] for v in seen.values()], pa.int64())})
+            for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
+                own = entries(text.as_py(), prefixes)
+                own[""] = sum(n for e, n in own.items() if not e.endswith("*"))  # all of the text's words
+                for e, n in own.items():
+                    at = seen.setdefault(e, [0, 0, 0, 0])
+                    at[toxic] += 1
+                    at[2 + toxic] += n
+        columns = {name: pa.array([v[i] for v in seen.values()], pa.int64()) for i, name in enumerate(("clean", "toxic", "clean_words", "toxic_words"))}
+        yield pa.RecordBatch.from_pydict({"entry": pa.array(seen.keys(), pa.string())} | columns)
 
     # near copies of a text say no more about its words than the text does
     alone = _alone(rows)
     n = {r["toxic"]: r["count"] for r in alone.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return Model()
+    sums = [F.sum(c).alias(c) for c in ("clean", "toxic", "clean_words", "toxic_words")]
+    found = cut(alone.mapInArrow(count, "entry string, clean long, toxic long, clean_words long, toxic_words long").groupBy("entry").agg(*sums).where("toxic > 1 OR entry = ''"))
+    whole = found.where("entry = ''").first()
+    found = found.where("entry <> ''")
+    if not whole["toxic_words"] or not whole["clean_words"]:
+        found = found.limit(0)
+    expected = whole["toxic_words"] / max(whole["toxic_words"] + whole["clean_words"], 1)
     share_toxic = n[1] / (n[0] + n[1])
-    found = alone.mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    found = cut(found.where("toxic > 1"))
     # log-likelihood ratio against chance, beyond what the best of so many candidates reaches by chance
-    part = F.col("toxic") / (F.col("toxic") + F.col("clean"))
-    surprise = 2 * (F.col("toxic") * F.log(part / share_toxic) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - part) / (1 - share_toxic))).otherwise(0.0))
+    part = F.col("toxic_words") / (F.col("toxic_words") + F.col("clean_words"))
+    surprise = 2 * (F.col("toxic_words") * F.log(part / expected) + F.when(F.col("clean_words") > 0, F.col("clean_words") * F.log((1 - part) / (1 - expected))).otherwise(0.0))
     least = 2 * float(np.log(max(found.count(), 1)))
-    best = found.where(part > 3 * share_toxic / (1 + 2 * share_toxic)).select("entry", "toxic", surprise.alias("gain")).where(F.col("gain") > least)
-    best = best.orderBy(F.desc("gain"), F.col("entry").endswith("*"), F.desc(F.length("entry")), "entry").limit(40 * VOTERS).collect()
+    often = F.col("toxic") / (F.col("toxic") + F.col("clean")) > 3 * share_toxic / (1 + 2 * share_toxic)
+    best = found.where(often & (part > expected)).select("entry", "toxic", surprise.alias("gain")).where(F.col("gain") > least)
+    # no more than the bounded sample's texts hold
+    best = best.orderBy(F.desc("gain"), F.col("entry").endswith("*"), F.desc(F.length("entry")), "entry").collect()
     chosen: dict[str, int] = dict.fromkeys(SEEDS, 0)
     for r in best:
         entry, word = r["entry"], r["entry"].rstrip("*")
@@ -220,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         # one that chosen beginnings cover, or whose own words are mostly chosen, adds no voter
         covered = any(e.endswith("*") and word.startswith(e[:-1]) for e in chosen)
         within = sum(k for e, k in chosen.items() if entry.endswith("*") and e.rstrip("*").startswith(word))
-        if len(chosen) < VOTERS + len(SEEDS) and not covered and within < 0.8 * r["toxic"]:
+        if len(chosen) < voters + len(SEEDS) and not covered and within < 0.8 * r["toxic"]:
             chosen[entry] = r["toxic"]
     lexicon = list(chosen)
     model = Model(lexicon)

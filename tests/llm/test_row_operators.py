@@ -176,7 +176,11 @@ def test_toxicity_held_out(spark, sf):
     held = [r for r in rows if r["held_out"] and r["doc_id"] in labels]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     found = sum(r["predicted"] and labels[r["doc_id"]] for r in held)
-    assert found >= 0.6 * sum(labels[r["doc_id"]] for r in held)
+    assert found >= 0.9 * sum(labels[r["doc_id"]] for r in held)
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    for lang in {langs[r["doc_id"]] for r in held if labels[r["doc_id"]]}:
+        own = [r["predicted"] for r in held if labels[r["doc_id"]] and langs[r["doc_id"]] == lang]
+        assert sum(own) >= 0.75 * len(own), lang
     assert sum(r["predicted"] and not labels[r["doc_id"]] for r in held) <= 0.03 * len(held)
 
 
@@ -192,7 +196,7 @@ def test_only_near_copies_count_once(spark):
     lexicon = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).lexicon
     assert any("zuzuk".startswith(e.rstrip("*")) for e in lexicon)
     assert not any("vuvuk".startswith(e.rstrip("*")) for e in lexicon)
-    alone = toxicity._alone(docs.withColumnRenamed("doc_id", "__id").coalesce(1).localCheckpoint()).collect()
+    alone = toxicity._alone(docs.withColumnRenamed("doc_id", "__id").coalesce(1).checkpoint()).collect()
     assert sorted(r["text"] for r in alone) == sorted(t for i, t, _ in rows if not 100 < i < 200)
 
 
@@ -218,6 +222,45 @@ def test_label_model_finds_accuracies():
     assert ((q > 0.5) == y).mean() > 0.95
 
 
+def test_posteriors_correct_labels():
+    """With several independent voters the posteriors are nearer to the truth than the labels that started them."""
+    rng = np.random.default_rng(4)
+    y = rng.random(4000) < 0.3
+    noisy = lambda p: np.where(rng.random(4000) < p, y, ~y)
+    votes, labels = np.column_stack([noisy(0.9) for _ in range(5)]).astype(float), noisy(0.9)
+    q, rates, _ = toxicity.label_model(votes, labels.astype(int), np.ones(4000))
+    assert ((q > 0.5) != labels).sum() > 200
+    assert ((q > 0.5) == y).mean() > 0.97 > 0.92 > (labels == y).mean()
+    assert np.abs(rates[:5] - 0.9).max() < 0.04
+
+
+def test_lexicon_counts_equal_brute_force(spark):
+    """A beginning that few texts use for many words gets a voter; words are counted once a text."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(80)]
+    texts[0] += "".join(f" zuzuk{word()}" for _ in range(6))
+    texts[1] += "".join(f" zuzuk{word()}" for _ in range(6))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(80)], "doc_id long, toxic int")
+    want = set()
+    pairs = [(e, i, n) for i, t in enumerate(texts) for e, n in toxicity.entries(t).items()]
+    total = [sum(len(set(t.split())) for t in texts[4:]), sum(len(set(t.split())) for t in texts[:4])]
+    count = {}
+    for e, i, n in pairs:
+        c = count.setdefault(e, [0, 0, 0])
+        c[2 if i >= 4 else 1] += n
+        c[0] += i < 4
+    often = {e: c for e, c in count.items() if c[0] > 1}
+    for e, (_, toxic, clean) in often.items():
+        part, expected = toxic / (toxic + clean), total[1] / sum(total)
+        gain = 2 * (toxic * np.log(part / expected) + (clean * np.log((1 - part) / (1 - expected)) if clean else 0))
+        if part > expected and gain > 2 * np.log(len(often)):
+            want.add(e)
+    lexicon = set(toxicity.fit(docs, labels).lexicon) - set(toxicity.SEEDS)
+    assert lexicon and lexicon <= want and any(e.startswith("zuzu") for e in lexicon)
+
+
 def test_voters_match_words_and_beginnings():
     m = toxicity.Model(["idiot", "lowei*", "low"], np.zeros(7), 0.0)
     assert m.hits("Idiot, idiots; loweihr lowei Low flow.")[0] == {0: 1, 1: 1, 2: 1}

@@ -148,14 +148,17 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     """Writes all documents' ids in ascending id order (null ids first) and returns the files in order.
 
     Null text counts as empty and still gives the end id. Repeated ids stay
-    separate records. Files get names of their own for each attempt and only
+    separate records, in the order of their texts' hashes and texts; by that
+    order rows of one id, or without an id, may lie in many files. Files get names of their own for each attempt and only
     those that a finished task reports count, so a repeated or lost task
     does no harm. Counts of one row a file come to the driver.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "records")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    rows = rows.repartitionByRange(partitions(spark), "id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
+
     def work(batches):
         from pyspark import TaskContext
 

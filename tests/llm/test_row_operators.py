@@ -291,6 +291,35 @@ def test_records(spark, odd_docs, no_docs):
     assert token_records.write(no_docs, WORD, 2) == [] and token_records.read(spark, []).collect() == []
 
 
+def test_records_of_repeated_and_null_ids(spark):
+    """Rows of one id, or without one, lie in several files, in an order that doesn't depend on partitions."""
+    rng = random.Random(6)
+    rows = [(None if i % 3 else 7, "".join(rng.choice("abc d") for _ in range(rng.randint(0, 30)))) for i in range(3000)]
+    found = []
+    for n in (3, 8):
+        parts = token_records.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), WORD, 2)
+        assert len(parts) > 2 and max(p.records for p in parts) < 2000
+        found.append([(r["doc_id"], r["start"], bytes(r["ids"])) for r in token_records.read(spark, parts).orderBy("start").collect()])
+    assert found[0] == found[1] and [r[0] for r in found[0]] == [None] * 2000 + [7] * 1000
+
+
+def test_encoders_equal_library_on_random_texts():
+    """Added tokens, combining marks, dotted capital I, unassigned and private code points, odd spaces."""
+    from docweave.llm import packing
+
+    rng = random.Random(8)
+    odd = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "\u0301", "\u0307", "\u0130", "\u0131", "\u1e9e", "\u03a3", "\u0378", "\ue000", "\U000e0001", "\u00a0", "\u200b", "\u2028", "\x1c", "\x85", "'s", "'LL", "\u00bd", "\u0661", "\ud55c", "\u1112\u1161", "e\u0301", "\ufb01", "\u212b", "12", "Az", "!?", " ", "\n", "\t "]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    lib = library(WORD)
+    ids, first = token_records.WordEncoder.of(WORD).encode(pa.array(texts))
+    wrong = [t for t, a, b in zip(texts, first, first[1:]) if ids[a:b].tolist() != lib.encode(t, add_special_tokens=False).ids]
+    assert not wrong, wrong[:5]
+    byte = public_tokenizers.path("byte_bpe_50k.json")
+    lib, encode = library(byte), packing._encoder(byte)
+    wrong = [t for t in texts if encode(t).tolist() != lib.encode(t, add_special_tokens=False).ids]
+    assert not wrong, wrong[:5]
+
+
 def test_damage_is_found(spark, odd_docs):
     import io
 

@@ -110,24 +110,30 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> list[bytes]:
         # of Latin letters it is certain how the library splits them; other words are encoded alone
-        plain = [w for w in words if w and (w.isascii() or max(w) < "\u0250" and "\u0130" not in w)]
-        if any(a in text for a in self.added for text in [" ".join(plain)]):
-            plain = [w for w in plain if not any(a in w for a in self.added)]
-        ids = dict.fromkeys(words)
+        ids: list[bytes | None] = [None] * len(words)
+        everything = " ".join(words)
+        sure = everything.isascii() and not any(a in everything for a in self.added)
+        plain = [i for i, w in enumerate(words) if w and (sure or self._plain(w))]
         runs = [plain[i : i + 400] for i in range(0, len(plain), 400)]
-        for run, e in zip(runs, self.library.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+        for run, e in zip(runs, self.library.encode_batch_fast([" ".join([words[i] for i in r]) for r in runs], add_special_tokens=False)):
             got = np.array(e.ids, dtype="<u4")
             parts = np.flatnonzero(self.ends[got]) + 1
-            count = np.cumsum([1 if w.isalpha() else len(self.pattern.findall(w)) for w in run])
+            own = [words[i] for i in run]
+            count = np.cumsum([1 if w.isalpha() else len(self.pattern.findall(w)) for w in own])
             if count[-1] != len(parts) or parts[-1] != len(got):
                 continue  # encoded one by one below
             data, stops = got.tobytes(), (4 * parts[count - 1]).tolist()
-            for w, a, b in zip(run, [0, *stops], stops):
-                ids[w] = data[a:b]
-        rest = [w for w, v in ids.items() if v is None]
-        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
-            ids[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [ids[w] for w in words]
+            at = 0
+            for i, stop in zip(run, stops):
+                ids[i] = data[at:stop]
+                at = stop
+        rest = [i for i, v in enumerate(ids) if v is None]
+        for i, e in zip(rest, self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+            ids[i] = np.array(e.ids, dtype="<u4").tobytes()
+        return ids
+
+    def _plain(self, word: str) -> bool:
+        return (word.isascii() or max(word) < "\u0250" and "\u0130" not in word) and not any(a in word for a in self.added)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin; null counts as empty."""

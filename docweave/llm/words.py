@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 
 #: Most words that a worker keeps the ids of.
 CACHE = 600_000
+#: Letters of the longest words that are kept.
+LONG = 64
 #: Documents that are worked on at a time.
 DOCS = 2048
 
@@ -47,9 +49,13 @@ def encode_words(texts: pa.Array, known: dict[str, bytes], learn) -> tuple[np.nd
     if new:
         if len(known) + len(new) > CACHE:
             known.clear()
-        fresh = dict(zip(new, learn(new)))
-        ids = [fresh[w] if v is None else v for w, v in zip(words, ids)]
-        known.update((w, v) for w, v in fresh.items() if len(w) <= 64)
+        fresh = learn(new)
+        left = iter(fresh)
+        ids = [next(left) if v is None else v for v in ids]
+        if max(map(len, new)) <= LONG:
+            known.update(zip(new, fresh))
+        else:
+            known.update((w, v) for w, v in zip(new, fresh) if len(w) <= LONG)
     size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     begin = np.cumsum(size) - size
     blob = np.frombuffer(b"".join(ids), np.uint32)
@@ -62,5 +68,7 @@ def encode_words(texts: pa.Array, known: dict[str, bytes], learn) -> tuple[np.nd
 
 
 def binary(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """A binary array of each text's ids."""
+    """A binary array of each text's ids; ValueError beyond 2 GB, which its offsets can't tell."""
+    if len(offsets) and int(offsets[-1]) * 4 >= 1 << 31:
+        raise ValueError("ids of a batch take 2 GB or more; give fewer rows at a time")
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4", copy=False))])

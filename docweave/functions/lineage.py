@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or where that is unset a folder of the local session or the warehouse."""
+    """``spark.checkpoint.dir``, or the folder set by ``setCheckpointDir``.
+
+    Where neither names one, a local session gets a folder of its own; on a
+    cluster that is an error, as no folder is known that all executors see.
+    """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        local = sc.master.startswith("local[") or sc.master == "local"
-        named = f"file:///tmp/checkpoints/{sc.applicationId}" if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file:///tmp/checkpoints/{sc.applicationId}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")

@@ -143,6 +143,11 @@ def file_stem(path: Column | str) -> Column:
     return F.regexp_replace(F.regexp_extract(col(path), r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
 
+def display_name(document: Column | str) -> Column:
+    """The stem of a document's path; a name that isn't a path stays."""
+    return F.when(F.contains(col(document), F.lit("/")), file_stem(document)).otherwise(col(document))
+
+
 def is_pdf(path: Column | str) -> Column:
     return F.lower(col(path)).endswith(".pdf")
 
@@ -175,7 +180,7 @@ def fallback_caption(caption: Column | str, index: Column | str, pages: Column |
 
 
 def image_chunk_body(document: Column | str, image_id: Column | str, description: Column | str) -> Column:
-    return F.concat(F.lit("Image description from "), col(document), F.lit(". Image "), col(image_id).cast("string"), F.lit(". "), normalize_whitespace(description))
+    return F.concat(F.lit("Image description from "), display_name(document), F.lit(". Image "), col(image_id).cast("string"), F.lit(". "), normalize_whitespace(description))
 
 
 def query_text(question: Column | str, prefix: str = DEFAULT.query_prefix) -> Column:
@@ -197,8 +202,9 @@ def casefold(text: Column | str) -> Column:
 
 
 def lacks(text: Column | str, addition: Column | str) -> Column:
-    """Whether ``addition`` isn't blank and isn't in ``text`` already, whatever the case."""
-    return (col(addition) != "") & ~F.contains(casefold(text), casefold(addition))
+    """Whether ``addition`` isn't blank and isn't in ``text`` already, whatever the case and white space; nulls are empty."""
+    plain = lambda c: casefold(normalize_whitespace(F.coalesce(col(c), F.lit(""))))
+    return (plain(addition) != "") & ~F.contains(plain(text), plain(addition))
 
 
 def digit_pages(pages: Column | str) -> Column:

@@ -16,7 +16,9 @@ from docweave.functions import text as t
 
 def markdown_items(pages: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(document_name, item_no, raw_text, headings, source_type, page_numbers) from (document_id, page_no, markdown)."""
-    parts = F.posexplode(F.split(F.coalesce("markdown", F.lit("")), r"\n\s*\n"))
+    # a heading is a line of its own, whether or not blank lines are around it
+    apart = F.regexp_replace(F.coalesce("markdown", F.lit("")), r"(?m)^[ \t]{0,3}(#{1,6}[ \t]+[^\n]*)$", "\n\n$1\n\n")
+    parts = F.posexplode(F.split(apart, r"\n\s*\n"))
     rows = pages.select(F.col("document_id").alias("document_name"), "page_no", parts.alias("at", "part")).where(t.normalize_whitespace("part") != "")
     order = Window.partitionBy("document_name").orderBy("page_no", "at")
     rows = rows.withColumn("no", F.row_number().over(order))

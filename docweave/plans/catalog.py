@@ -77,7 +77,11 @@ def manifest_of(files: DataFrame, process_vision: bool, image_hash: str | None =
 
 
 def changed(wanted: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of the manifest ``wanted`` that ``known`` lacks or has otherwise; nulls equal nulls."""
+    """Rows of the manifest ``wanted`` that ``known`` lacks or has otherwise; nulls equal nulls.
+
+    Documents are told apart by their paths. With the two changed about, the
+    rows are those that went or were otherwise.
+    """
     right = known.select(*[F.col(c).alias(f"__{c}") for c in _KEY])
     same = F.lit(True)
     for c in _KEY:

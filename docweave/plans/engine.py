@@ -37,50 +37,93 @@ class Engine:
     def ingest(self, path: str, process_vision: bool = True, force: bool = False, images: DataFrame | None = None, image_hash: str | None = None, pattern: str = "*.[pP][dD][fF]", image_chunks: bool = True) -> Ingested:
         """Indexes the documents at ``path``; unchanged ones are taken over from the current generation.
 
-        Image chunks come from ``images``, or with ``process_vision`` from the
-        captioner, if there is one and the parser knows where figures are.
+        Documents are told apart by their paths; their names are only shown.
+        Those that are gone leave the index. Only chunks of new and changed
+        documents are encoded and counted. Image chunks come from ``images``
+        (by name, which must then be unique, or by ``document_path``), or
+        with ``process_vision`` from the captioner, if there is one and the
+        parser knows where figures are.
         """
-        files = readers.read_files(self.spark, path, pattern)
-        wanted = manifest_of(files, process_vision, image_hash, self.s.schema_version)
-        if not wanted.limit(1).count():
+        files = readers.read_files(self.spark, path, pattern).withColumn("document_name", F.col("document_id")).withColumn("document_id", F.col("path"))
+        wanted = cut(self._manifest(files, process_vision, image_hash))
+        total = wanted.count()
+        if not total:
             raise FileNotFoundError(f"no document at {path}")
         now = self.catalog.current()
         known = self.catalog.manifest(now)
-        fresh = wanted if force or now is None else changed(wanted, known)
+        fresh = wanted if force or now is None else cut(changed(wanted, known))
         n = fresh.count()
-        if not n and now is not None and known.count() == wanted.count():
+        if not n and now is not None and known.count() == total:
             chunks = self.catalog.table(now, "chunks")
-            return Ingested(wanted.count(), chunks.count(), chunks.where("source_type = 'image'").count(), True)
-        names = F.broadcast(fresh.select(F.col("document_name").alias("document_id"))) if n <= 100_000 else fresh.select(F.col("document_name").alias("document_id"))
+            return Ingested(total, chunks.count(), chunks.where("source_type = 'image'").count(), True)
+        names = fresh.select(F.col("document_path").alias("document_id"))
+        names = F.broadcast(names) if n <= 100_000 else names
         files = files.join(names, "document_id", "left_semi")
         pages = readers.parse_pages(files, self.parser, True, self.s)
         rows = chunking.chunk_records(structure.markdown_items(pages, self.s), self.s)
-        if images is None and process_vision and self.captioner is not None and hasattr(self.parser, "render"):
+        if images is not None:
+            images = self._of_documents(images, wanted, names)
+        elif process_vision and self.captioner is not None and hasattr(self.parser, "render"):
             images = cut(enrich.picture_records(files, self.parser, self.captioner, self.s))
         if images is not None and image_chunks:
             rows = rows.unionByName(chunking.image_records(images, self.s))
         generation = self.catalog.new()
-        if now is not None:
-            stay = wanted.join(fresh.select("document_name"), "document_name", "left_anti").select("document_name")
-            rows = rows.unionByName(self.catalog.table(now, "chunks").drop("id").join(stay, "document_name", "left_semi"))
-        self.catalog.write(generation, "chunks", chunking.numbered_chunks(rows))
-        total = self.build(generation)
+        stay = None
+        if now is not None and n < total:
+            stay = cut(wanted.join(fresh.select("document_path"), "document_path", "left_anti").select(F.col("document_path").alias("document_id")))
+            old = self.catalog.table(now, "chunks").join(stay, "document_id", "left_semi")
+            rows = rows.unionByName(old.withColumn("document_name", F.col("document_id")).drop("id", "document_id"))
+        own = chunking.numbered_chunks(rows).withColumn("document_id", F.col("document_name")).withColumn("document_name", t.display_name("document_id"))
+        self.catalog.write(generation, "chunks", own)
+        chunks = self.build(generation, now if stay is not None else None, stay)
         self.catalog.commit(generation, wanted)
         found = self.catalog.table(generation, "chunks")
-        return Ingested(wanted.count(), total, found.where("source_type = 'image'").count(), False)
+        return Ingested(total, chunks, found.where("source_type = 'image'").count(), False)
+
+    def _manifest(self, files: DataFrame, process_vision: bool, image_hash: str | None) -> DataFrame:
+        return manifest_of(files.withColumn("document_id", t.file_stem("path")), process_vision, image_hash, self.s.schema_version)
+
+    def _of_documents(self, images: DataFrame, wanted: DataFrame, names: DataFrame) -> DataFrame:
+        """Image records of the documents in ``names``, ``document_name`` being the path."""
+        if "document_path" in images.columns:
+            images = images.withColumn("document_name", F.col("document_path"))
+        else:
+            if wanted.groupBy("document_name").count().where("count > 1").limit(1).count():
+                raise ValueError("documents share a name; image records need document_path")
+            paths = wanted.select("document_name", F.col("document_path").alias("__path"))
+            images = images.join(paths, "document_name").withColumn("document_name", F.col("__path")).drop("__path")
+        return images.join(names.select(F.col("document_id").alias("document_name")), "document_name", "left_semi")
 
-    def build(self, generation: str) -> int:
-        """Sparse and dense tables of a generation's chunks; ValueError if there are none."""
+    def build(self, generation: str, before: str | None = None, stay: DataFrame | None = None) -> int:
+        """Sparse and dense tables of a generation's chunks; ValueError if there are none.
+
+        Rows of documents in ``stay`` are taken over from the generation
+        ``before``, by the number that their chunk had there.
+        """
         chunks = self.catalog.table(generation, "chunks")
         total = chunks.count()
         if not total:
             raise ValueError("no chunks to index")
+        moved = None
+        if stay is not None:
+            was = self.catalog.table(before, "chunks").select(F.col("id").alias("__was"), "document_id", "seq")
+            same = chunks.select(F.col("id").alias("__now"), "document_id", "seq").join(stay, "document_id", "left_semi")
+            moved = cut(same.join(was, ["document_id", "seq"]).select("__was", "__now"))
+            chunks = chunks.join(moved, F.col("id") == F.col("__now"), "left_anti")
+
+        def with_old(rows: DataFrame, name: str) -> DataFrame:
+            if moved is None:
+                return rows
+            old = self.catalog.table(before, name)
+            kept = old.join(moved, F.col("chunk_id") == F.col("__was")).withColumn("chunk_id", F.col("__now"))
+            return rows.unionByName(kept.select(*rows.columns))
+
         body = t.first_filled("embedding_text", "text", "raw_text")
         own = chunks.select(F.col("id").alias("chunk_id"), body.alias("text"))
-        self.catalog.write(generation, "embeddings", own.select("chunk_id", self.encoder.encode(F.col("text")).alias("embedding")))
+        self.catalog.write(generation, "embeddings", with_old(own.select("chunk_id", self.encoder.encode(F.col("text")).alias("embedding")), "embeddings"))
         lengths, postings = sparse.flat(cut(sparse.postings_of(own)))
-        self.catalog.write(generation, "lengths", lengths)
-        self.catalog.write(generation, "postings", postings)
+        self.catalog.write(generation, "lengths", with_old(lengths, "lengths"))
+        self.catalog.write(generation, "postings", with_old(postings, "postings"))
         stored = sparse.derived(self.catalog.table(generation, "lengths"), self.catalog.table(generation, "postings"))
         self.catalog.write(generation, "terms", stored.terms)
         self.catalog.write(generation, "corpus", stored.corpus)
@@ -94,8 +137,8 @@ class Engine:
         now = self.catalog.current()
         if path is not None and now is not None and not force:
             files = readers.read_files(self.spark, path, how.get("pattern", "*.[pP][dD][fF]"))
-            wanted = manifest_of(files, how.get("process_vision", True), how.get("image_hash"), self.s.schema_version)
-            stale = changed(wanted, self.catalog.manifest(now)).limit(1).count() > 0
+            wanted, known = cut(self._manifest(files, how.get("process_vision", True), how.get("image_hash"))), self.catalog.manifest(now)
+            stale = changed(wanted, known).limit(1).count() > 0 or changed(known, wanted).limit(1).count() > 0
         else:
             stale = force or now is None
         if stale:

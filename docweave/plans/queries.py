@@ -302,8 +302,9 @@ ORACLE_SQL = {
     "occurrence_limit": "SELECT doc_id, md5(text) AS image_hash, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS occurrence FROM documents QUALIFY occurrence <= 3",
     "figure_placement": "WITH " + _BOXES + " SELECT v.vec_id, v.page_no, coalesce(max(p.vec_id), -1) AS paragraph_no FROM r1 v LEFT JOIN r1 p ON p.kind = 'raster' AND p.page_no = v.page_no AND p.y0 <= v.y0 WHERE v.kind = 'vector' GROUP BY ALL",
     "picture_run_cap": """WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(range(len(string_split(text, chr(10))))) AS item_no FROM documents),
-      b AS (SELECT *, CASE WHEN length(p) % 5 = 0 THEN '' WHEN item_no % 2 = 0 THEN upper(p) ELSE 'figure ' || p END AS d, item_no // 6 + 1 AS run_id FROM a),
-      c AS (SELECT *, d <> '' AND NOT contains(replace(lower(p), 'ß', 'ss'), replace(lower(d), 'ß', 'ss')) AS may FROM b),
+      b0 AS (SELECT *, CASE WHEN length(p) % 5 = 0 THEN '' WHEN item_no % 2 = 0 THEN upper(p) ELSE 'figure ' || p END AS d0, item_no // 6 + 1 AS run_id FROM a),
+      b AS (SELECT *, """ + _NORM.format("d0") + """ AS d FROM b0),
+      c AS (SELECT *, d <> '' AND NOT contains(replace(lower(""" + _NORM.format("p") + "), 'ß', 'ss'), replace(lower(" + _NORM.format("d") + """), 'ß', 'ss')) AS may FROM b),
       e AS (SELECT *, may AND sum(may::INT) OVER (PARTITION BY doc_id, run_id ORDER BY item_no) <= 2 AS appended FROM c)
       SELECT doc_id, item_no, run_id, appended, concat_ws(chr(10), nullif(p, ''), CASE WHEN appended THEN 'Image description: ' || d END) AS serialized FROM e""",
     "figure_dedup": "WITH " + _BOXES + """,

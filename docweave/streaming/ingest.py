@@ -14,7 +14,7 @@ def new_files(spark, folder: str, pattern: str = "*.[pP][dD][fF]", per_batch: in
     """A stream of files as (document_id, path, content, document_hash)."""
     rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     rows = rows.option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_batch).load(folder)
-    return rows.withColumn("document_id", t.file_stem("path")).withColumn("document_hash", t.sha256("content"))
+    return rows.withColumn("document_id", F.col("path")).withColumn("document_hash", t.sha256("content"))
 
 
 def write_chunks(files: DataFrame, out: str, checkpoint: str, parser=None):
@@ -27,6 +27,7 @@ def write_chunks(files: DataFrame, out: str, checkpoint: str, parser=None):
     def save(batch: DataFrame, number: int) -> None:
         pages = readers.parse_pages(batch, parser, strict=False)
         rows = chunking.chunk_records(structure.markdown_items(pages))
+        rows = rows.withColumn("document_id", F.col("document_name")).withColumn("document_name", t.display_name("document_id"))
         rows.withColumn("ingested", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return files.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

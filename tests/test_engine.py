@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from docweave import cli
-from docweave.models import ExtractiveGenerator
+from docweave.models import ExtractiveGenerator, HashedEncoder
 from docweave.operators import dense, sparse
 from docweave.plans import queries
 from docweave.plans.engine import Engine
@@ -197,3 +197,70 @@ def test_queries(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 40
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+class CountingEncoder(HashedEncoder):
+    """Writes down every text that it encodes."""
+
+    def __init__(self, path):
+        super().__init__(16)
+        self.path = path
+
+    def encode(self, text):
+        from pyspark.sql import functions as F
+
+        path = self.path
+
+        @F.udf("string")
+        def note(s):
+            with open(path, "a") as f:
+                f.write(f"{s}\n")
+            return s
+
+        return super().encode(note(text))
+
+
+def test_documents_of_equal_names_and_gone_ones(spark, tmp_path):
+    """Documents are told apart by path; removed and renamed ones leave the index; only new chunks are encoded."""
+    folder, log = tmp_path / "in", tmp_path / "log"
+    for d, text in (("a", b"# Cats\n\nCats sleep."), ("b", b"# Taxes\n\nTaxes are due in May.")):
+        (folder / d).mkdir(parents=True)
+        (folder / d / "x.pdf").write_bytes(text)
+    (folder / "y.pdf").write_bytes(b"# Dogs\nDogs bark.")
+    engine = Engine(spark, str(tmp_path / "index"), encoder=CountingEncoder(str(log)))
+    first = engine.ensure_ready(str(folder))
+    assert sorted(r.text for r in engine.catalog.table(first, "chunks").collect()) == ["Cats. Cats sleep.", "Dogs. Dogs bark.", "Taxes. Taxes are due in May."]
+    assert len(log.read_text().splitlines()) == 3
+    (folder / "0.pdf").write_bytes(b"# Birds\n\nBirds sing.")
+    (folder / "y.pdf").unlink()
+    (folder / "b" / "x.pdf").rename(folder / "b" / "z.pdf")
+    with pytest.raises(RuntimeError):
+        engine.ensure_ready(str(folder), auto_ingest=False)
+    second = engine.ensure_ready(str(folder))
+    assert sorted(log.read_text().splitlines()[3:]) == ["Birds. Birds sing.", "Taxes. Taxes are due in May."]
+    chunks = {r.id: r for r in engine.catalog.table(second, "chunks").collect()}
+    assert sorted(r.document_name for r in chunks.values()) == ["0", "x", "z"]
+    whole = Engine(spark, str(tmp_path / "again"), encoder=HashedEncoder(16))
+    other = whole.ensure_ready(str(folder))
+    for name in ("chunks", "embeddings", "lengths", "postings", "terms", "corpus"):
+        rows = [sorted(map(repr, e.catalog.table(g, name).select(sorted(e.catalog.table(g, name).columns)).collect())) for e, g in ((engine, second), (whole, other))]
+        assert rows[0] == rows[1], name
+    assert engine.ensure_ready(str(folder), auto_ingest=False) == second
+    (folder / "0.pdf").unlink()
+    third = engine.ensure_ready(str(folder))
+    assert third != second and len(log.read_text().splitlines()) == 5
+    assert sorted(r.document_name for r in engine.catalog.table(third, "chunks").collect()) == ["x", "z"]
+
+
+def test_shared_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from docweave.functions.lineage import shared_folder
+
+    said = []
+    sc = N(getConf=lambda: {}, getCheckpointDir=lambda: None, setCheckpointDir=said.append, master="spark://host:7077", applicationId="x")
+    with pytest.raises(RuntimeError):
+        shared_folder(N(sparkContext=sc, conf={}))
+    sc.getCheckpointDir = lambda: "hdfs:///own/"
+    assert shared_folder(N(sparkContext=sc, conf={})) == "hdfs:///own" and said == []
+    assert shared_folder(N(sparkContext=sc, conf={"spark.checkpoint.dir": "hdfs:///named"})) == "hdfs:///named"

@@ -48,6 +48,9 @@ def test_goldens(spark):
     assert value(spark, t.first_filled("x", F.lit("b")), x="") == "b"
     assert value(spark, t.file_stem("x"), x="s3://a/b.c/page_1.tar.png") == "page_1.tar"
     assert value(spark, t.lacks("x", F.lit("STRASSE")), x="die Straße") is False
+    assert value(spark, t.lacks("x", F.lit(" a \n b ")), x="see a  b here") is False
+    assert value(spark, t.lacks("x", F.lit(None).cast("string")), x="see") is False
+    assert value(spark, t.lacks(F.lit(None).cast("string"), "x"), x="d") is True
     assert value(spark, t.sha256("x"), x="abc").startswith("ba7816bf") and value(spark, t.image_key("x"), x="abc").startswith("900150983c")
     assert value(spark, t.fallback_caption("x", F.lit(0), F.array(F.lit(2))), x="") == "Figure 1 extracted from page(s) 2."
     assert value(spark, t.query_text("x"), x=" q ").endswith("passages: q")
@@ -174,3 +177,10 @@ def test_markdown_items_and_repair(spark):
     assert structure.needs_repair(chunks)
     fixed = structure.repair_transcripts(chunks)
     assert fixed.first().text == "Image description. c" and not structure.needs_repair(fixed)
+
+
+def test_headings_without_blank_lines(spark):
+    """A heading is a line of its own; text right after or before it is its section's."""
+    pages = spark.createDataFrame([("d", 1, "before\n# T\nbody\nmore\n## U\n\nlast #1"), ("d", 2, None)], "document_id string, page_no int, markdown string")
+    got = [(r.headings, r.raw_text) for r in structure.markdown_items(pages).orderBy("item_no").collect()]
+    assert got == [([], "before"), (["T"], "body\nmore"), (["U"], "last #1")]

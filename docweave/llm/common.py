@@ -7,33 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that count as white space wherever a contract writes ``[\x20\x09-\x0D]``.
-SPACE = r"[\x20\x09-\x0D]"
-
+from docweave.functions.lineage import cut, shared_folder
+from docweave.sources.stores import open_store as open_fs
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
+__all__ = ["SPACE", "cut", "numbered", "open_fs", "partitions", "scratch", "shared_dir", "stored"]
 
-    ``spark.checkpoint.dir`` names it. Where that is unset, a local session
-    gets a folder of its own and a cluster uses the warehouse, never a
-    machine-local temporary folder.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if sc.master.startswith("local[") or sc.master == "local":
-            base = f"file:///tmp/checkpoints/{sc.applicationId}"
-        else:
-            base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
+#: Bytes that count as white space wherever a contract writes ``[\x20\x09-\x0D]``.
+SPACE = r"[\x20\x09-\x0D]"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` materialised once in the shared folder; its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+shared_dir = shared_folder
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -48,17 +31,6 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def open_fs(uri: str):
-    """(pyarrow file system, path) of a folder or file that Spark names by ``uri``."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 WIDTH, HEIGHT = 32, 18
 FRAME = WIDTH * HEIGHT
 TIMESCALE, TICKS = 25, 1
+#: Rows of media and payload in an Arrow batch, whose bytes of a column must stay under 2 GB.
+ROWS = 64
 #: Frames in a chunk of the sample tables.
 CHUNK = 64
 #: Boxes that hold other boxes.
@@ -148,7 +150,11 @@ def _table(data: bytes, at: int, end: int, kind: str, columns: int) -> np.ndarra
 
 
 def inspect(data: bytes) -> list[Track]:
-    """The tracks of a container. Payload bytes are not read. ValueError for a broken file."""
+    """The tracks of a container. Payload bytes are not read.
+
+    ValueError for a broken file and for one whose samples are in fragments,
+    which its sample tables don't tell.
+    """
     tracks: list[Track] = []
     tables: list[dict[bytes, np.ndarray]] = []
 
@@ -176,7 +182,17 @@ def inspect(data: bytes) -> list[Track]:
                     track.width, track.height = struct.unpack_from(">HH", data, at + 40)
             elif kind == b"stsz":
                 size, n = struct.unpack_from(">II", data, at + 4)
+                if size * n > len(data):
+                    raise ValueError("more samples than the file can hold")
                 own[kind] = np.full(n, size, np.int64) if size else _table(data, at + 4, stop, ">u4", 1)[:, 0]
+            elif kind == b"stz2":
+                bits, n = struct.unpack_from(">xxxBI", data, at + 4)
+                if bits not in (4, 8, 16) or at + 12 + (n * bits + 7) // 8 > stop:
+                    raise ValueError("sample table leaves its box")
+                packed = np.frombuffer(data, ">u2" if bits == 16 else np.uint8, (n * min(bits, 8) + 7) // 8, at + 12)
+                own[b"stsz"] = (np.column_stack((packed >> 4, packed & 15)).ravel()[:n] if bits == 4 else packed).astype(np.int64)
+            elif kind == b"trun":
+                raise ValueError("samples in fragments aren't read")
             elif kind == b"stco":
                 own[b"chunk"] = _table(data, at, stop, ">u4", 1)[:, 0]
             elif kind == b"co64":
@@ -228,8 +244,8 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def work(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
                 out: dict[str, list] = {k.split()[0]: [] for k in SCHEMA.replace("<offset:long,length:long>", "").split(", ")}
                 for text in part.column(1).to_pylist():
                     raw = (text or "").encode("utf-8", "surrogatepass")

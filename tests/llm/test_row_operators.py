@@ -166,6 +166,23 @@ def test_walk_other_layouts():
     assert media.inspect(b"") == []
 
 
+def test_sample_sizes_are_checked():
+    """A count beyond the file is refused before memory is taken; small sizes are unpacked; fragments are refused."""
+    good = media.build(media.pad(b"x" * 1200))
+    at = good.index(b"stsz")
+    with pytest.raises(ValueError):
+        media.inspect(good[: at + 12] + struct.pack(">I", 0xFFFFFFFF) + good[at + 16 :])
+    full = lambda kind, body: struct.pack(">I4sI", 12 + len(body), kind, 0) + body
+    box = lambda kind, body: struct.pack(">I4s", 8 + len(body), kind) + body
+    for bits, packed in ((4, b"\x31\x20"), (8, b"\x03\x01\x02"), (16, b"\0\x03\0\x01\0\x02")):
+        head = box(b"mdat", b"abcdef")
+        tables = full(b"stz2", struct.pack(">xxxBI", bits, 3) + packed) + full(b"stsc", struct.pack(">IIII", 1, 1, 3, 1)) + full(b"stco", struct.pack(">II", 1, 8))
+        (track,) = media.inspect(head + box(b"trak", box(b"stbl", tables)))
+        assert track.sizes.tolist() == [3, 1, 2] and track.read(head) == b"abcdef"
+    with pytest.raises(ValueError):
+        media.inspect(box(b"trak", b"") + box(b"moof", box(b"traf", full(b"trun", b"\0" * 8))))
+
+
 # toxicity
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -47,6 +48,7 @@ def test_bm25(spark, k):
 
 def test_dense(spark, monkeypatch):
     monkeypatch.setattr(dense, "BLOCK", 2)
+    monkeypatch.setattr(dense, "SENT", 3 * 5 * 8)
     rng = np.random.default_rng(0)
     v = rng.normal(size=(60, 5)).round(1)
     v[7] = v[3]
@@ -62,6 +64,18 @@ def test_dense(spark, monkeypatch):
     assert all(np.linalg.norm(r.embedding) == pytest.approx(1, abs=1e-6) for r in lengths)
 
 
+def test_dense_ties(spark):
+    """Of equal vectors a task gives no more than k, those of smallest id."""
+    vectors = spark.range(100_000).selectExpr("concat('c', lpad(id, 6, '0')) AS chunk_id", "array(0.0, 0.0) AS embedding").repartition(4)
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
+    found = dense.top_k(vectors, asked, 30)
+    assert [r.chunk_id for r in found.orderBy("rank").collect()] == [f"c{i:06d}" for i in range(30)]
+    v = np.zeros(1000)
+    score, ids = dense._best(np.empty(0), None, v, pa.array(range(1000, 0, -1)), 30)
+    score, ids = dense._best(score, ids, v, pa.array(range(2000, 1000, -1)), 30)
+    assert sorted(ids.to_pylist()) == list(range(1, 31)) and len(score) == 30
+
+
 @pytest.fixture
 def pdfs(tmp_path):
     folder = tmp_path / "in"

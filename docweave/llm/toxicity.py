@@ -27,6 +27,8 @@ VOTERS = 96
 #: Letters of the word beginnings that may become voters, besides whole words.
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
+#: Least share of the words that an entry matches that toxic texts hold, so that marks of a language aren't taken for marks of toxicity.
+PURE = 2 / 3
 #: Jaccard similarity of 5-word shingles from which rows of a class count once for the lexicon: loose copies repeat words too.
 ALIKE = 0.5
 #: Voters that are there before any label is seen; the label model finds what they are worth.
@@ -177,8 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     An entry that at least two toxic texts have may vote if its share of
     toxic words is a surprise: counted are pairs of a text and a different
-    word in it that the entry matches, against all such pairs. So a few
-    texts are enough where each has many words of one beginning.
+    word in it that the entry matches, against all such pairs, and toxic
+    texts must hold ``PURE`` of those it matches. So a few texts are enough
+    where each has many words of one beginning.
 
     About ``train_rows`` rows of each class, drawn by a hash of the id, are
     joined with their texts; the drawn ids, whose number that parameter
@@ -226,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     surprise = 2 * (F.col("toxic_words") * F.log(part / expected) + F.when(F.col("clean_words") > 0, F.col("clean_words") * F.log((1 - part) / (1 - expected))).otherwise(0.0))
     least = 2 * float(np.log(max(found.count(), 1)))
     often = F.col("toxic") / (F.col("toxic") + F.col("clean")) > 3 * share_toxic / (1 + 2 * share_toxic)
-    best = found.where(often & (part > expected)).select("entry", "toxic", surprise.alias("gain")).where(F.col("gain") > least)
+    best = found.where(often & (part > expected) & (part >= PURE)).select("entry", "toxic", surprise.alias("gain")).where(F.col("gain") > least)
     # no more than the bounded sample's texts hold
     best = best.orderBy(F.desc("gain"), F.col("entry").endswith("*"), F.desc(F.length("entry")), "entry").collect()
     chosen: dict[str, int] = dict.fromkeys(SEEDS, 0)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.config import DEFAULT, Settings
 from docweave.functions import text as t
+from docweave.models import BROKEN_DEVICE
 
 
 def clip(regions: DataFrame, s: Settings = DEFAULT, raster_side: float = 80, vector_side: float = 120) -> DataFrame:
@@ -146,10 +150,10 @@ def fill_captions(markdown: DataFrame, captions: DataFrame, look: int = 5) -> Da
 
 def poison_after(captions: DataFrame, order: str = "image_no", document: str = "document_id") -> DataFrame:
     """Captions after an error that leaves the device broken are marked for another try."""
-    # fixed values: what such errors say, and the mark
-    bad = F.col("error").contains("device-side assert") | F.col("error").contains("CUDA error")
+    bad = reduce(or_, [F.contains(F.col("error"), F.lit(mark)) for mark in BROKEN_DEVICE])
     by = Window.partitionBy(document).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     mark = F.max(F.coalesce(bad, F.lit(False)).cast("int")).over(by) == 1
+    # fixed value: the mark
     return captions.withColumn("description", F.when(mark, F.lit("SKIPPED_GPU_CONTEXT_CORRUPTED - needs reprocessing")).otherwise(F.col("description")))
 
 

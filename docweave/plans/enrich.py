@@ -9,7 +9,7 @@ from docweave.config import DEFAULT, Settings
 from docweave.functions import text as t
 from docweave.functions.lineage import cut
 from docweave.operators import figures
-from docweave.sources import readers, writers
+from docweave.sources import readers, stores, writers
 
 PAGE = ("document_id", "page_no")
 
@@ -71,25 +71,34 @@ def captioned(found: DataFrame, captioner) -> DataFrame:
 
 
 def picture_records(files: DataFrame, parser, captioner, s: Settings = DEFAULT) -> DataFrame:
-    """Described figures as ``chunking.image_records`` takes them, numbered from 0 within each document.
+    """Described figures as ``chunking.image_records`` takes them, numbered from 0 within each document, with their places.
 
-    Small pictures are left out; one without a model's words gets a sentence
-    that says where it's from.
+    Small pictures are left out; one without a model's words gets its own
+    caption, or else a sentence that says where it's from.
     """
     found = named_figures(readers.render_regions(files, figure_regions(readers.parse_regions(files, parser), s), parser, s), s)
-    seen = found.select("document_id", "page_no", "figure_no", "file", "width", "height", captioner.describe(F.col("image")).alias("c"))
+    seen = found.select("document_id", "page_no", "y0", "figure_no", "file", "width", "height", "caption", captioner.describe(F.col("image")).alias("c"))
     number = F.row_number().over(Window.partitionBy("document_id").orderBy("page_no", "figure_no")) - 1
-    rows = cut(seen.select("document_id", "page_no", "figure_no", "file", "width", "height", "c.description", "c.error")).withColumn("image_id", number)
-    rows = figures.poison_after(rows, "image_id").withColumn("caption", F.lit(None).cast("string")).withColumn("page_numbers", F.array("page_no"))
+    rows = cut(seen.select("document_id", "page_no", "y0", "figure_no", "file", "width", "height", "caption", "c.description", "c.error")).withColumn("image_id", number)
+    rows = figures.poison_after(rows, "image_id").withColumn("page_numbers", F.array("page_no"))
     own = figures.describe_pictures(rows.drop("description", "error"), rows.select("document_id", "image_id", "description"), s)
     pages = F.transform("page_numbers", lambda p: p.cast("string"))
-    return own.select(F.col("document_id").alias("document_name"), F.col("image_id").alias("image_no"), "image_id", F.col("file").alias("image_path"), "description", pages.alias("page_numbers"))
+    return own.select(F.col("document_id").alias("document_name"), F.col("image_id").alias("image_no"), "image_id", F.col("file").alias("image_path"), "description", pages.alias("page_numbers"), "page_no", "y0", "figure_no")
 
 
-def enrich(spark: SparkSession, path: str, out: str, parser, captioner=None, pattern: str = "*.[pP][dD][fF]", s: Settings = DEFAULT) -> DataFrame:
+def shown_pages(pages: DataFrame, files: DataFrame, pictures: DataFrame, parser, s: Settings = DEFAULT) -> DataFrame:
+    """Pages in which pictures of ``picture_records`` that the Markdown doesn't show are shown after the text above them."""
+    own = pictures.select(F.col("document_name").alias("document_id"), "page_no", "y0", "figure_no", F.col("image_path").alias("__f"))
+    met = own.join(pages.select(*PAGE, F.col("markdown").alias("__m")), list(PAGE))
+    lacking = met.where(~F.contains(F.coalesce("__m", F.lit("")), F.col("__f"))).withColumn("markdown", F.concat(F.lit("![]("), "__f", F.lit(")")))
+    return placed_pages(pages, readers.parse_blocks(files, parser), cut(lacking.select(*PAGE, "y0", "figure_no", "markdown")), s)
+
+
+def enrich(spark: SparkSession, path: str, out: str, parser, captioner=None, pattern: str = "*.[pP][dD][fF]", s: Settings = DEFAULT, clean: bool = True) -> DataFrame:
     """Writes ``figures``, ``images``, ``image_metadata`` and ``markdown`` below ``out``, in place of what an earlier run left; returns the Markdown.
 
-    Without a captioner the placeholders stay for a later pass.
+    Without a captioner the placeholders stay for a later pass. Without
+    ``clean`` image files of an earlier run stay beside the new ones.
     """
     files = readers.read_files(spark, path, pattern)
     regions = figure_regions(readers.parse_regions(files, parser), s)
@@ -103,5 +112,7 @@ def enrich(spark: SparkSession, path: str, out: str, parser, captioner=None, pat
         records = writers.merge_metadata(records, captions, ["document_id", "image"])
     writers.write_metadata(records, f"{out}/image_metadata")
     writers.write_table(text, f"{out}/markdown")
+    if clean:
+        stores.remove(f"{out}/images")
     writers.export_images(found.select(F.concat_ws("/", "document_id", "file").alias("file"), "image"), f"{out}/images").write.format("noop").mode("overwrite").save()
     return spark.read.parquet(f"{out}/markdown")

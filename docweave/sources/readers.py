@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from pathlib import PurePosixPath
 from typing import Protocol
 
@@ -24,7 +25,11 @@ class PageParser(Protocol):
 
 
 class LayoutParser(PageParser, Protocol):
-    """A parser that also knows where things are on a page; sizes in points, boxes as (x0, y0, x1, y1)."""
+    """A parser that also knows where things are on a page; sizes in points, boxes as (x0, y0, x1, y1).
+
+    It may have ``caption(content, page, box)``, the words that the document
+    itself puts to a figure, or None.
+    """
 
     def page_size(self, content: bytes, page: int) -> tuple[float, float]: ...
 
@@ -161,14 +166,15 @@ def parse_regions(files: DataFrame, parser: LayoutParser) -> DataFrame:
 
 
 def render_regions(files: DataFrame, regions: DataFrame, parser: LayoutParser, s: Settings = DEFAULT) -> DataFrame:
-    """(document_id, page_no, region_no, x0, y0, x1, y1, image, width, height) of what can be rendered.
+    """(document_id, page_no, region_no, x0, y0, x1, y1, image, width, height, caption) of what can be rendered.
 
     A document's boxes go to its bytes, which move once however many figures
     it has; figures leave one at a time.
     """
     boxes = F.array_sort(F.collect_list(F.struct("page_no", "region_no", "x0", "y0", "x1", "y1")))
     met = files.select("document_id", "content").join(regions.groupBy("document_id").agg(boxes.alias("boxes")), "document_id")
-    names = ["document_id", "page_no", "region_no", "x0", "y0", "x1", "y1", "image", "width", "height"]
+    names = ["document_id", "page_no", "region_no", "x0", "y0", "x1", "y1", "image", "width", "height", "caption"]
+    own_words = getattr(parser, "caption", lambda content, page, box: None)
 
     def work(batches):
         for b in batches:
@@ -177,9 +183,9 @@ def render_regions(files: DataFrame, regions: DataFrame, parser: LayoutParser, s
                     box = (r["x0"], r["y0"], r["x1"], r["y1"])
                     made = sized(lambda scale, page=int(r["page_no"]), box=box: parser.render(content, page, box, scale), s)
                     if made:
-                        yield pd.DataFrame([(key, r["page_no"], r["region_no"], *box, *made)], columns=names)
+                        yield pd.DataFrame([(key, r["page_no"], r["region_no"], *box, *made, own_words(content, int(r["page_no"]), box))], columns=names)
 
-    return met.mapInPandas(work, "document_id string, page_no int, region_no int, x0 double, y0 double, x1 double, y1 double, image binary, width int, height int")
+    return met.mapInPandas(work, "document_id string, page_no int, region_no int, x0 double, y0 double, x1 double, y1 double, image binary, width int, height int, caption string")
 
 
 def sized(render, s: Settings = DEFAULT) -> tuple[bytes, int, int] | None:
@@ -217,6 +223,19 @@ def read_image_metadata(spark: SparkSession, path: str) -> DataFrame | None:
     return rows if rows.limit(1).count() else None
 
 
+def metadata_hash(spark: SparkSession, path: str) -> str | None:
+    """What tells whether image metadata changed: a file's SHA-256, or one of all files in a folder; None if there is none."""
+    if not exists(spark, path):
+        return None
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", t.sha256("content").alias("h"))
+    # the files' hashes, whatever their order: few numbers however many there are
+    key = F.concat_ws(" ", "path", "h")
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h"), *[F.bit_xor(F.xxhash64(F.lit(i), key)).alias(f"x{i}") for i in range(4)]).first()
+    if row["n"] <= 1:
+        return row["h"]
+    return hashlib.sha256(repr(tuple(row[f"x{i}"] for i in range(4))).encode()).hexdigest()
+
+
 def read_questions(lines: list[str]) -> list[str]:
     """Questions up to ``exit`` or ``quit``, without blank ones."""
     out = []

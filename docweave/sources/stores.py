@@ -21,3 +21,12 @@ def save_bytes(content: bytes, uri: str) -> str:
     with store.open_output_stream(local) as out:
         out.write(content)
     return uri
+
+
+def remove(uri: str) -> None:
+    """Removes a folder and all in it, if it's there."""
+    store, local = open_store(uri)
+    from pyarrow import fs
+
+    if store.get_file_info(local).type == fs.FileType.Directory:
+        store.delete_dir(local)

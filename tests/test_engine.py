@@ -1,5 +1,6 @@
 """Search, engine, catalog, sources and stream, end to end on small inputs."""
 
+import hashlib
 import json
 import math
 import re
@@ -8,10 +9,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from docweave import cli
-from docweave.models import ExtractiveGenerator, HashedEncoder
+from docweave.models import ChatGenerator, CrossEncoderReranker, ExtractiveGenerator, FunctionEncoder, HashedEncoder
+from docweave.observe import timed
 from docweave.operators import dense, sparse
 from docweave.plans import queries
 from docweave.plans.engine import Engine
@@ -278,3 +281,99 @@ def test_shared_folder_on_a_cluster():
     sc.getCheckpointDir = lambda: "hdfs:///own/"
     assert shared_folder(N(sparkContext=sc, conf={})) == "hdfs:///own" and said == []
     assert shared_folder(N(sparkContext=sc, conf={"spark.checkpoint.dir": "hdfs:///named"})) == "hdfs:///named"
+
+
+def test_image_metadata_and_repair(spark, tmp_path, pdfs):
+    """JSON records become chunks and text; their hash makes the index stale; echoed transcripts are repaired once."""
+    meta = tmp_path / "m.json"
+    write = lambda said: meta.write_text(json.dumps([{"document_name": "a", "image": "p.png", "page": 2, "description": said}, {"document_name": "B", "image": "q.png", "description": " "}]))
+    (pdfs / "a.pdf").write_bytes(b"# Cats\n\nCats sleep. ![](x/p.png)")
+    write("system: look user: what assistant: A grey cat.")
+    log = tmp_path / "log"
+    engine = Engine(spark, str(tmp_path / "index"), encoder=CountingEncoder(str(log)))
+    first = engine.ensure_ready(str(pdfs), image_metadata=str(meta), repair=False)
+    chunks = {r.source_type: r for r in engine.catalog.table(first, "chunks").where("document_name = 'a'").collect()}
+    assert chunks["image"].raw_text.startswith("Image description from a. Image 0. system: look") and chunks["image"].page_numbers == [2]
+    assert chunks["text_with_image"].text == "Cats. Cats sleep. Image description: system: look user: what assistant: A grey cat."
+    before = len(log.read_text().splitlines())
+    second = engine.ensure_ready(str(pdfs), auto_ingest=False, image_metadata=str(meta))
+    assert second != first
+    mended = engine.catalog.table(second, "chunks").where("source_type = 'image'").collect()
+    assert [(r.id, r.raw_text, r.text) for r in mended] == [(chunks["image"].id, "A grey cat.", "Image description. A grey cat.")]
+    assert len(log.read_text().splitlines()) == before + 2  # document a alone
+    assert engine.catalog.table(second, "embeddings").count() == engine.catalog.table(second, "chunks").count()
+    assert engine.ensure_ready(str(pdfs), auto_ingest=False, image_metadata=str(meta)) == second
+    write("A black cat.")
+    with pytest.raises(RuntimeError):
+        engine.ensure_ready(str(pdfs), auto_ingest=False, image_metadata=str(meta))
+    third = engine.ensure_ready(str(pdfs), image_metadata=str(meta))
+    assert "Image description from a. Image 0. A black cat." in [r.raw_text for r in engine.catalog.table(third, "chunks").collect()]
+    assert readers.metadata_hash(spark, str(tmp_path / "none")) is None
+    assert readers.metadata_hash(spark, str(meta)) == hashlib.sha256(meta.read_bytes()).hexdigest()
+    assert readers.metadata_hash(spark, str(pdfs)) != readers.metadata_hash(spark, str(pdfs / "a.pdf"))
+
+
+def test_model_adapters(spark):
+    rows = spark.createDataFrame([(i, f"q{i}", "x" * i if i else None) for i in range(20)], "i int, q string, s string").coalesce(1)
+
+    def encode():
+        def f(texts):
+            assert len(texts) <= 3
+            return [[3.0 * len(x), 4.0 * len(x)] for x in texts]
+
+        return f
+
+    got = rows.select("i", FunctionEncoder(encode, 2, batch=3).encode(F.col("s")).alias("v")).orderBy("i").collect()
+    assert got[0].v == [0, 0] and all(r.v == pytest.approx([0.6, 0.8]) for r in got[1:])
+    bad = FunctionEncoder(lambda: lambda texts: [[1.0, 0.0]], 2)
+    with pytest.raises(Exception, match="one vector a text"):
+        rows.select(bad.encode(F.col("s"))).collect()
+    raw = CrossEncoderReranker(lambda: lambda pairs: [[len(q)] for q, _ in pairs])
+    both = CrossEncoderReranker(lambda: lambda pairs: [[0.0, math.log(3)] for _ in pairs])
+    one = rows.select("q", raw.score(F.col("q"), F.col("s")).alias("a"), both.score(F.col("q"), F.col("s")).alias("b")).collect()
+    assert all(r.a == len(r.q) and r.b == pytest.approx(0.75) for r in one)
+
+    def load():
+        def chat(messages, temperature, max_tokens):
+            assert [m["role"] for m in messages] == ["system", "user"] and (temperature, max_tokens) == (0.2, 1024)
+            yield "said: "
+            yield messages[1]["content"]
+
+        return chat
+
+    talk = ChatGenerator(load, "Be brief.")
+    assert [r.a for r in rows.limit(2).select(talk.generate(F.col("q")).alias("a")).collect()] == ["said: q0", "said: q1"]
+    assert list(talk.stream("x")) == ["said: ", "x"]
+    assert rows.limit(0).select(talk.generate(F.col("q"))).collect() == []
+
+
+def test_paragraph_match_equals_brute_force(spark):
+    """Against the standard library over all pairs of a page."""
+    from difflib import SequenceMatcher
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    want = set()
+    norm = lambda s: " ".join(s.split()).lower()
+    key = lambda s: norm(re.sub(r"(?m)^[\s\x1c-\x1f\-]+", "", re.sub(r"[#*_`>|]+", " ", s)))[:250]
+    for d, text in docs:
+        lines = [(n, x) for n, x in enumerate((text or "").split("\n")) if x.strip(" ")]
+        for n, x in lines:
+            a, best = key(f"**{x}** |"), None
+            for m, y in lines:
+                b = key(y)
+                if int(m / 8) == int(n / 8) and a and b:
+                    r = SequenceMatcher(None, a, b).ratio()
+                    if best is None or r > best[0]:
+                        best = (r, m * 12.0)
+            want.add((d, n, best[1] if best and best[0] >= 0.35 else None, round(best[0], 9) if best else None))
+    rows = queries.paragraph_match(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(want) and {tuple(r[c] for c in ("doc_id", "paragraph_no", "anchor", "ratio")) for r in rows} == want
+
+
+def test_timer(caplog):
+    with caplog.at_level("INFO", logger="docweave"):
+        with timed("step", rows=3):
+            pass
+        with pytest.raises(KeyError), timed("other"):
+            raise KeyError
+    assert re.fullmatch(r"step took \d+\.\d\d s, rows=3", caplog.messages[0]) and caplog.messages[1].startswith("other failed after")

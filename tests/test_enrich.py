@@ -8,6 +8,7 @@ from docweave.functions import text as t
 from docweave.models import FunctionCaptioner
 from docweave.plans import enrich
 from docweave.plans.engine import Engine
+from docweave.sources import readers
 
 
 def parser_of_json():
@@ -95,6 +96,10 @@ def test_engine_with_vision(spark, tmp_path):
 
     engine = Engine(spark, f"{tmp_path}/index", parser_of_json(), captioner=FunctionCaptioner(load))
     assert engine.ingest(f"{tmp_path}/in").images == 3
+    # text chunks: descriptions stand after the paragraph above the picture
+    text = engine.catalog.table(engine.catalog.current(), "chunks").where("source_type <> 'image'").collect()
+    parts = ["The first paragraph is about rivers.", "Image description: a map of png 600x400", "A second one is about mountains and lakes.", "Image description: Figure 2 extracted from page(s) 1.", "No figure here. At all.", "Image description: Figure 3 extracted from page(s) 3."]
+    assert [(r.raw_text, r.text, r.source_type, r.page_numbers) for r in text] == [(" ".join(parts), "Rivers. " + " ".join(parts), "text_with_image", [1, 2, 3])]
     chunks = engine.catalog.table(engine.catalog.current(), "chunks").where("source_type = 'image'").orderBy("id").collect()
     assert [(r.raw_text, r.page_numbers, r.metadata.image_path) for r in chunks] == [
         ("Image description from a. Image 0. a map of png 600x400", [1], "page_1_img_1.png"),
@@ -103,6 +108,49 @@ def test_engine_with_vision(spark, tmp_path):
     ]
     assert engine.ingest(f"{tmp_path}/in").cached
     assert engine.ingest(f"{tmp_path}/in", process_vision=False).images == 0
+    assert "Image description" not in engine.catalog.table(engine.catalog.current(), "chunks").first().raw_text
+
+
+def test_own_captions_stand_in(spark, tmp_path):
+    """A figure's own caption is taken where the model gives nothing."""
+    (tmp_path / "a.pdf").write_text(json.dumps(DOCUMENT))
+    parser = parser_of_json()
+    type(parser).caption = lambda self, content, page, box: f"Map of page {page}" if page == 1 else None
+    files = readers.read_files(spark, str(tmp_path))
+    rows = enrich.picture_records(files, parser, FunctionCaptioner(lambda: lambda content: "")).orderBy("image_no").collect()
+    assert [r.description for r in rows] == ["Map of page 1", "Map of page 1", "Figure 3 extracted from page(s) 3."]
+
+
+def test_images_of_an_earlier_run(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_text(json.dumps(DOCUMENT))
+    old = tmp_path / "out" / "images" / "a" / "page_9_img_1.png"
+    old.parent.mkdir(parents=True)
+    for clean in (False, True):
+        old.write_bytes(b"old")
+        enrich.enrich(spark, f"{tmp_path}/in", f"file://{tmp_path}/out", parser_of_json(), clean=clean)
+        assert old.exists() is not clean and (old.parent / "page_3_img_1.png").exists()
+
+
+def test_captioner_stops_at_a_broken_device(spark, tmp_path):
+    """The function isn't called again in a stream after such an error; other errors cost one image."""
+    log = str(tmp_path / "log")
+
+    def load():
+        def describe(content):
+            with open(log, "ab") as f:
+                f.write(content + b"\n")
+            if content in (b"2", b"4"):
+                raise RuntimeError("CUDA error: gone" if content == b"4" else "blurred")
+            return "seen"
+
+        return describe
+
+    rows = spark.createDataFrame([(bytes([48 + i]),) for i in range(1, 8)], "image binary").coalesce(1)
+    got = [r.c for r in rows.select(FunctionCaptioner(load).describe(F.col("image")).alias("c")).collect()]
+    assert [c.description for c in got] == ["seen", None, "seen"] + [None] * 4
+    assert [c.error for c in got] == [None, "blurred", None] + ["CUDA error: gone"] * 4
+    assert (tmp_path / "log").read_bytes().split() == [b"1", b"2", b"3", b"4"]
 
 
 def test_repeats_and_broken_devices(spark):

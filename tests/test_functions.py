@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from docweave.config import Settings
 from docweave.functions import text as t
 from docweave.operators import chunking, figures, fusion, structure
 
@@ -184,3 +185,26 @@ def test_headings_without_blank_lines(spark):
     pages = spark.createDataFrame([("d", 1, "before\n# T\nbody\nmore\n## U\n\nlast #1"), ("d", 2, None)], "document_id string, page_no int, markdown string")
     got = [(r.headings, r.raw_text) for r in structure.markdown_items(pages).orderBy("item_no").collect()]
     assert got == [([], "before"), (["T"], "body\nmore"), (["U"], "last #1")]
+
+
+def test_descriptions_of_shown_pictures(spark):
+    """By file name; not what the paragraph says already, not more than two of a page in a row, text between or not."""
+    pages = [
+        ("d", 1, "# T\n\nSee ![a](x/a.png) and ![b](b.png).\n\nText.\n\n![](c.png)\n\n# U\n\n![The  SAME thing](d.png)"),
+        ("d", 2, "![](e.png)\n\n![](none.png)"),
+        ("e", 1, "![a](a.png)"),
+    ]
+    known = [("d", "a.png", "first"), ("d", "b.png", " second  one "), ("d", "c.png", "third"), ("d", "d.png", "same thing"), ("d", "e.png", "fifth"), ("e", "a.png", None)]
+    items = structure.markdown_items(spark.createDataFrame(pages, "document_id string, page_no int, markdown string"), pictures=spark.createDataFrame(known, "document_name string, image string, description string"))
+    got = [(r.document_name, r.raw_text, r.source_type) for r in items.orderBy("document_name", "item_no").collect()]
+    assert got == [
+        ("d", "See ![a](x/a.png) and ![b](b.png).\nImage description: first\nImage description: second one\n\nText.", "text_with_image"),
+        ("d", "![The  SAME thing](d.png)\n\nImage description: fifth", "image"),
+        ("e", "![a](a.png)", "image"),
+    ]
+
+
+def test_contextualize(spark):
+    items = spark.createDataFrame([("d", 0, " body  text ", ["A", " ", "B"], "text", [1]), ("d", 1, " ", [], "text", [1])], "document_name string, item_no int, raw_text string, headings array<string>, source_type string, page_numbers array<int>")
+    got = chunking.chunk_records(items, Settings(contextualize=True)).collect()
+    assert [(r.text, r.headings) for r in got] == [("A B body text", [])]

@@ -56,6 +56,17 @@ def test_shards(odd_docs, no_docs):
         assert sharding.row_at(len(rows), 16, r["shard"], r["slot"]) == r["row_number"]
 
 
+def test_row_numbers_follow_the_sorted_list(odd_docs):
+    """Numbers are places in the list of all rows by (id, size, crc), nulls first."""
+    rows = sorted(sharding.shard_rows(odd_docs).collect(), key=lambda r: r["row_number"])
+    own = [(r["doc_id"], (r["text"] or "").encode()) for r in odd_docs.collect()]
+    want = sorted(((i is not None, i or 0), len(t) + 1, zlib.crc32(t)) for i, t in own)
+    assert [r["row_number"] for r in rows] == list(range(len(rows)))
+    assert [((r["doc_id"] is not None, r["doc_id"] or 0), r["size"], r["text_crc32"]) for r in rows] == want
+    f = sharding.Feistel(len(rows), 0)
+    assert [r["slot"] * 16 + r["shard"] for r in rows] == f.position(np.arange(len(rows))).tolist()
+
+
 def test_shards_are_reproducible(odd_docs):
     key = lambda df: sorted((r["row_number"], r["shard"], r["slot"]) for r in df.collect())
     assert key(sharding.shard_rows(odd_docs)) == key(sharding.shard_rows(odd_docs.repartition(3)))
@@ -122,6 +133,26 @@ def test_language_accuracy(spark, sf):
     assert np.mean([r["lang_pred"] == docs[r["doc_id"]] for r in held]) > 0.95
 
 
+def test_language_query_equals_brute_force(spark, sf):
+    """Profiles, ranks and distances of the whole query in plain Python."""
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    key = lambda g: [0] * (3 - len(g)) + [ord(c) for c in g]
+    top = lambda counts: sorted(counts, key=lambda g: (-counts[g], key(g)))[: language_id.PROFILE]
+    grams, totals = {i: plain_ngrams(t or "") for i, t, _ in docs}, {}
+    for i, t, lang in docs:
+        if t is not None and lang is not None and not held(i):
+            totals.setdefault(lang, Counter()).update(grams[i])
+    profiles = {lang: {g: place for place, g in enumerate(top(c))} for lang, c in totals.items()}
+    n = language_id.PROFILE
+    for r in queries.op2_language_id(spark, sf).collect():
+        mine = top(grams[r["doc_id"]])
+        apart = {lang: sum(abs(p[g] - i) if g in p else n for i, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(sorted(apart), key=apart.get)
+        want = (best, pytest.approx(1 - apart[best] / (n * len(mine)))) if mine else ("und", 0.0)
+        assert (r["lang_pred"], r["score"]) == want and r["held_out"] == held(r["doc_id"])
+
+
 # media
 
 
@@ -137,6 +168,23 @@ def test_media_round_trip(odd_docs, no_docs):
     assert media.digests(media.store_texts(no_docs)).collect() == []
 
 
+def test_media_digests_and_features(odd_docs):
+    """The stored bytes' own digest and length; frames counted and placed by hand."""
+    stored = media.store_texts(odd_docs).cache()
+    files = {hashlib.sha256(r["media"]).hexdigest(): bytes(r["media"]) for r in stored.collect()}
+    seen = {}
+    for r in media.digests(stored).collect():
+        data = files[r["media_sha256"]]
+        n, start = r["payload_bytes"] // 576, len(data) - r["payload_bytes"]
+        assert r["media_bytes"] == len(data) and hashlib.sha256(data[start:]).hexdigest() == r["payload_sha256"]
+        ranges = ",".join(f"{start + 576 * i}+576" for i in range(n))
+        want = f"codec=raw;size=32x18;duration={n * media.TICKS}/{media.TIMESCALE};samples={n};keyframes={n};ranges={hashlib.sha256(ranges.encode()).hexdigest()}"
+        assert r["feature"] == want
+        # equal payloads, equal containers and features
+        assert seen.setdefault(r["payload_sha256"], (r["media_sha256"], r["feature"])) == (r["media_sha256"], r["feature"])
+    stored.unpersist()
+
+
 def test_walk_other_layouts():
     """A second track, interleaved chunks, sizes of their own, stss, 64-bit box size and offsets, unknown boxes."""
     box, full = media._box, media._full

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import time
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave import schema
 from docweave.config import DEFAULT
+from docweave.observe import log
 from docweave.sources.readers import exists
 
 TABLES = ("chunks", "embeddings", "postings", "lengths", "terms", "corpus")
@@ -34,6 +35,7 @@ class CacheStatus:
 class Catalog:
     spark: SparkSession
     folder: str
+    _read: set[str] = field(default_factory=set, repr=False)
 
     def _list(self, path: str) -> list[str]:
         jvm = self.spark.sparkContext._jvm
@@ -42,9 +44,19 @@ class Catalog:
         return [str(s.getPath().getName()) for s in fs.listStatus(p)] if fs.exists(p) else []
 
     def current(self) -> str | None:
-        """The last generation whose manifest is complete."""
+        """The last generation whose manifest is complete and can be read."""
         done = [g for g in self._list(f"{self.folder}/manifests") if exists(self.spark, f"{self.folder}/manifests/{g}/_SUCCESS")]
-        return max(done, default=None)
+        return next((g for g in sorted(done, reverse=True) if self._readable(g)), None)
+
+    def _readable(self, generation: str) -> bool:
+        if generation not in self._read:
+            try:
+                self.manifest(generation).limit(1).collect()
+            except Exception as e:
+                log.warning("the manifest of %s can't be read: %s", generation, str(e).splitlines()[0] if str(e) else e)
+                return False
+            self._read.add(generation)
+        return True
 
     def new(self) -> str:
         return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"

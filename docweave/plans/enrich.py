@@ -95,16 +95,16 @@ def shown_pages(pages: DataFrame, files: DataFrame, pictures: DataFrame, parser,
 
 
 def enrich(spark: SparkSession, path: str, out: str, parser, captioner=None, pattern: str = "*.[pP][dD][fF]", s: Settings = DEFAULT, clean: bool = True) -> DataFrame:
-    """Writes ``figures``, ``images``, ``image_metadata`` and ``markdown`` below ``out``, in place of what an earlier run left; returns the Markdown.
+    """Writes ``figures``, ``images``, ``image_metadata``, ``markdown`` and ``documents`` below ``out``, in place of what an earlier run left; returns the Markdown.
 
     Without a captioner the placeholders stay for a later pass. Without
-    ``clean`` image files of an earlier run stay beside the new ones.
+    ``clean`` files of an earlier run stay beside the new ones.
     """
     files = readers.read_files(spark, path, pattern)
     regions = figure_regions(readers.parse_regions(files, parser), s)
     writers.write_images(named_figures(readers.render_regions(files, regions, parser, s), s), f"{out}/figures")
     found = spark.read.parquet(f"{out}/figures")
-    text = whole_markdown(placed_pages(cut(readers.parse_pages(files, parser, True, s)), readers.parse_blocks(files, parser), found, s))
+    text = whole_markdown(placed_pages(cut(readers.parse_pages(files, parser, True, s, whole=True)), readers.parse_blocks(files, parser), found, s))
     records = found.select("document_id", F.col("page_no").alias("page"), F.col("file").alias("image"), F.array("x0", "y0", "x1", "y1").alias("bbox"))
     if captioner is not None:
         captions = cut(captioned(found, captioner))
@@ -112,7 +112,13 @@ def enrich(spark: SparkSession, path: str, out: str, parser, captioner=None, pat
         records = writers.merge_metadata(records, captions, ["document_id", "image"])
     writers.write_metadata(records, f"{out}/image_metadata")
     writers.write_table(text, f"{out}/markdown")
-    if clean:
-        stores.remove(f"{out}/images")
-    writers.export_images(found.select(F.concat_ws("/", "document_id", "file").alias("file"), "image"), f"{out}/images").write.format("noop").mode("overwrite").save()
-    return spark.read.parquet(f"{out}/markdown")
+    done = spark.read.parquet(f"{out}/markdown")
+    files_of = {
+        "images": found.select(F.concat_ws("/", "document_id", "file").alias("file"), "image"),
+        "documents": done.select(F.concat("document_id", F.lit(".md")).alias("file"), F.col("markdown").cast("binary").alias("image")),
+    }
+    for folder, rows in files_of.items():
+        if clean:
+            stores.remove(f"{out}/{folder}")
+        writers.export_images(rows, f"{out}/{folder}").write.format("noop").mode("overwrite").save()
+    return done

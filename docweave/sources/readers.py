@@ -69,6 +69,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p) and fs.getFileStatus(p).isFile())
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
     """(document_id, path, modificationTime, length, content, document_hash)."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
@@ -94,8 +101,13 @@ def parse_range(parser: PageParser, content: bytes, first: int, last: int, stric
         return parse_range(parser, content, first, middle, strict) + parse_range(parser, content, middle + 1, last, strict)
 
 
-def parse_pages(files: DataFrame, parser: PageParser | None = None, strict: bool = True, s: Settings = DEFAULT) -> DataFrame:
-    """Pages of Markdown of whole documents (heading levels must agree across pages), a task's documents one by one."""
+def parse_pages(files: DataFrame, parser: PageParser | None = None, strict: bool = True, s: Settings = DEFAULT, whole: bool = False) -> DataFrame:
+    """Pages of Markdown, a task's documents one by one.
+
+    The parser gets a batch of pages at a time, or with ``whole`` a document
+    at once, so that heading levels agree across its pages; a range that
+    can't be read is halved either way.
+    """
     parser = parser or FormFeedParser()
 
     def work(batches):
@@ -103,8 +115,9 @@ def parse_pages(files: DataFrame, parser: PageParser | None = None, strict: bool
             out = []
             for key, content in zip(b["document_id"], b["content"]):
                 n = parser.page_count(content)
-                for first in range(1, n + 1, s.page_batch):
-                    out += [(key, *row) for row in parse_range(parser, content, first, min(n, first + s.page_batch - 1), strict)]
+                step = max(n, 1) if whole else s.page_batch
+                for first in range(1, n + 1, step):
+                    out += [(key, *row) for row in parse_range(parser, content, first, min(n, first + step - 1), strict)]
             yield pd.DataFrame(out, columns=["document_id", "page_no", "markdown", "error"])
 
     return files.select("document_id", "content").mapInPandas(work, schema.PAGES)

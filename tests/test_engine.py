@@ -377,3 +377,55 @@ def test_timer(caplog):
         with pytest.raises(KeyError), timed("other"):
             raise KeyError
     assert re.fullmatch(r"step took \d+\.\d\d s, rows=3", caplog.messages[0]) and caplog.messages[1].startswith("other failed after")
+
+
+def test_broken_manifest(spark, tmp_path, pdfs):
+    """A generation whose manifest can't be read doesn't exist; the one before it does."""
+    folder = tmp_path / "index"
+    engine = Engine(spark, str(folder))
+    first = engine.ensure_ready(str(pdfs))
+    (pdfs / "a.pdf").write_bytes(b"# Birds\n\nBirds sing.")
+    second = engine.ensure_ready(str(pdfs))
+    for f in (folder / "manifests" / second).glob("*.parquet"):
+        f.write_bytes(b"broken")
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    again = Engine(spark, str(folder))
+    assert again.catalog.current() == first and again.ensure_ready() == first
+    assert again.ensure_ready(str(pdfs)) not in (first, second)
+
+
+def test_hybrid_answer_equals_brute_force(spark):
+    """The whole path from documents to answers in plain Python."""
+    import xxhash
+
+    from docweave.operators.chunking import loop_windows
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    chunks = {d * 10000 + k: " ".join(w[a:b]) for d, w in ((d, (x or "").split()) for d, x in docs) for k, (a, b) in enumerate(loop_windows(len(w), 442, 50, 100))}
+    words = lambda s: re.findall("[a-z0-9]+", s.lower())
+
+    def vector(s):
+        v = np.zeros(256)
+        for h in map(xxhash.xxh64_intdigest, words(s)):
+            v[h % 256] += 1 if h >> 63 else -1
+        n = np.linalg.norm(v)
+        v = (v / n if n else v).astype("float32").astype(float)
+        n = np.linalg.norm(v)
+        return v / n if n else v
+
+    vectors = {i: vector(x) for i, x in chunks.items()}
+    asked = queries._questions(spark, sf).collect()
+    got = {r.query_id: r.answer for r in queries.hybrid_answer(spark, sf).collect()}
+    assert len(got) == len(asked)
+    for r in asked:
+        text = r.text.strip()
+        q = vector("Represent this sentence for searching relevant passages: " + text)
+        score = {i: round(float(v @ q), 9) for i, v in vectors.items()}
+        near = {i: n for n, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:30], 1)}
+        sparse_rank = {i: n for n, (i, _) in enumerate(plain_bm25(list(chunks.items()), text)[:30], 1)}
+        fused = {i: (1 / (60 + near[i]) if i in near else 0) + (1 / (60 + sparse_rank[i]) if i in sparse_rank else 0) for i in {*near, *sparse_rank}}
+        first = sorted(fused, key=lambda i: (-fused[i], near.get(i, 99), sparse_rank.get(i, 99)))[:15]
+        share = {i: len(set(words(text)) & set(words(chunks[i]))) / max(1, len(set(words(text)))) for i in first}
+        best = max(first, key=lambda i: (share[i], -first.index(i)))
+        assert got[r.query_id] == chunks[best], r.query_id

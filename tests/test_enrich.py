@@ -2,8 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from docweave import markdown
 from docweave.functions import text as t
 from docweave.models import FunctionCaptioner
 from docweave.plans import enrich
@@ -79,6 +81,7 @@ def test_markdown_path(spark, tmp_path):
         assert got["a"] == f"<!-- page: 1 -->\n{page1}\n\n<!-- page: 2 -->\nNo figure here.\n\n\n\nAt all.\n\n<!-- page: 3 -->\n{page3}\n"
         assert got["b"] == "<!-- page: 1 -->\nOnly text.\n"
     assert (tmp_path / "out" / "images" / "a" / "page_3_img_1.png").read_bytes() == b"png 400x400"
+    assert (tmp_path / "out" / "documents" / "a.md").read_text() == got["a"] and (tmp_path / "out" / "documents" / "b.md").exists()
     records = {r["image"]: r for r in spark.read.parquet(f"{out}/image_metadata").collect()}
     assert set(records) == {"page_1_img_1.png", "page_1_img_2.png", "page_3_img_1.png"}
     assert records["page_1_img_1.png"]["bbox"] == [50, 100, 350, 300] and records["page_1_img_1.png"]["description"] == "a *map* of png 600x400"
@@ -176,3 +179,33 @@ def test_no_documents_with_figures(spark, tmp_path):
     (tmp_path / "in" / "a.pdf").write_text("[]")
     assert enrich.enrich(spark, f"{tmp_path}/in", f"file://{tmp_path}/out", parser_of_json()).count() == 0
     assert spark.read.parquet(f"file://{tmp_path}/out/image_metadata").where(F.col("page") > 0).count() == 0
+
+
+def test_whole_documents_and_batches(spark):
+    """A document's pages go to the parser at once, or in batches; ranges that fail are halved."""
+
+    class Parser(readers.FormFeedParser):
+        def pages(self, content, first, last):
+            return [f"{first}-{last}"] * (last - first + 1)
+
+    files = spark.createDataFrame([("d", b"\f" * 24), ("e", b"")], "document_id string, content binary")
+    for whole, want in ((True, ["1-25"] * 25), (False, ["1-10"] * 10 + ["11-20"] * 10 + ["21-25"] * 5)):
+        rows = readers.parse_pages(files, Parser(), whole=whole).where("document_id = 'd'").orderBy("page_no").collect()
+        assert [r.markdown for r in rows] == want
+
+
+def test_markdown_runner(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.pdf").write_text(json.dumps(DOCUMENT))
+    (tmp_path / "a.txt").write_text("x")
+    monkeypatch.setattr(markdown, "made", lambda name: parser_of_json() if name else None)
+    said = []
+    assert markdown.main([str(tmp_path / "a.pdf"), f"file://{tmp_path}/out", "--parser", "x:y"], said.append) == 0
+    assert said[-1].startswith("1 documents in") and (tmp_path / "out/documents/a.md").exists()
+    assert markdown.main([str(tmp_path / "a.txt"), f"file://{tmp_path}/out", "--parser", "x:y"], said.append) == 1 and "unsupported" in said[-1]
+    assert markdown.main([str(tmp_path / "none"), f"file://{tmp_path}/out", "--parser", "x:y"], said.append) == 1
+
+
+def test_names_of_plug_ins():
+    assert markdown.made(None) is None and isinstance(markdown.made("docweave.sources.readers:FormFeedParser"), readers.FormFeedParser)
+    with pytest.raises(ValueError):
+        markdown.made("docweave")

@@ -88,19 +88,45 @@ def insert_figures(paragraphs: DataFrame, placed: DataFrame, keys: tuple[str, ..
     return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("__s")), lambda x: x["m"]), "\n\n").alias("markdown"))
 
 
-def _ratio(paragraph: Column, block: Column) -> Column:
-    """The standard library's matching ratio, which depends on the order of its texts."""
+def closest():
+    """The search for the text in ``blocks`` that ``paragraph`` resembles most.
+
+    It returns the text's place, the first if several are alike, and the
+    ratio; None without blocks. The ratio is the standard library's, which
+    depends on the order of its texts. It can't pass what the texts' characters
+    have in common, whatever their order; blocks are tried by that bound until
+    none left can win. Made inside a function, so workers needn't import this.
+    """
+    from collections import Counter
+    from difflib import SequenceMatcher
+
+    def search(paragraph: str, blocks: list[str]) -> tuple[int, float] | None:
+        own, best = Counter(paragraph), None
+        first = {b: i for i, b in reversed(list(enumerate(blocks)))}
+        bounds = [(-2.0 * (own & Counter(b)).total() / n if (n := len(paragraph) + len(b)) else -1.0, i) for b, i in first.items()]
+        for bound, i in sorted(bounds):
+            if best and (bound, i) > best:
+                break
+            found = (-SequenceMatcher(None, paragraph, blocks[i]).ratio(), i)
+            best = min(best or found, found)
+        return best and (best[1], -best[0])
+
+    return search
+
+
+def _closest(paragraphs: Column, blocks: Column) -> Column:
+    """``closest`` for each of a page's paragraphs: structs of the block's place from 0 and the ratio, null without blocks."""
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("double")
-    def ratio(paragraph, block):
-        from difflib import SequenceMatcher
+    search = closest()
 
+    @pandas_udf("array<struct<place:int,ratio:double>>")
+    def best(paragraphs, blocks):
         import pandas as pd
 
-        return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(paragraph, block)], dtype="float64")
+        return pd.Series([[(m := search(p, list(bs))) and {"place": m[0], "ratio": m[1]} for p in ps] for ps, bs in zip(paragraphs, blocks)], dtype=object)
 
-    return ratio(paragraph, block)
+    return best(paragraphs, blocks)
 
 
 def match_blocks(paragraphs: DataFrame, blocks: DataFrame, s: Settings = DEFAULT, keys: tuple[str, ...] = ("document_id", "page_no")) -> DataFrame:
@@ -108,16 +134,29 @@ def match_blocks(paragraphs: DataFrame, blocks: DataFrame, s: Settings = DEFAULT
 
     Paragraphs and blocks of the same page are compared, first on Markdown-free
     text; the first block wins ties. Image blocks and blank ones don't count.
+
+    Rows are dealt once by page. A block of the paragraph's own text has ratio
+    1, which no other text reaches; only pages with a paragraph that has no
+    such block are collected and searched.
     """
-    own = blocks.where((F.col("block_type") == 0) & (t.strip("text") != "")).select(*[F.col(k).alias(f"__{k}") for k in keys], "block_no", F.col("y0").alias("__y"), t.match_key("text", s.match_chars).alias("__b"))
-    left = paragraphs.select(*keys, "paragraph_no", t.match_key("text", s.match_chars).alias("__a"))
-    met = left.join(own, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [(F.col("__a") != "") & (F.col("__b") != "")])
-    met = met.withColumn("ratio", _ratio(F.col("__a"), F.col("__b")))
-    best = met.groupBy(*keys, "paragraph_no").agg(F.max(F.struct(F.col("ratio"), (-F.col("block_no")).alias("n"), F.col("__y").alias("y"))).alias("__m"))
-    best = best.select(*keys, "paragraph_no", F.when(F.col("__m.ratio") >= s.min_match, F.col("__m.y")).alias("anchor"), F.col("__m.ratio").alias("ratio"))
-    names = [*keys, "paragraph_no"]
-    b = best.select(*[F.col(n).alias(f"__{n}") for n in names], "anchor", "ratio")
-    return left.select(*names).join(b, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names], "left").select(*names, "anchor", "ratio")
+    tops = F.struct((-F.col("block_no")).alias("n"), F.col("y0").alias("y"))
+    own = blocks.where(F.col("block_type") == 0).select(*keys, t.match_key("text", s.match_chars).alias("__t"), tops.alias("__b"))
+    left = paragraphs.select(*keys, t.match_key("text", s.match_chars).alias("__t"), F.struct("paragraph_no").alias("__p"))
+    rows = left.unionByName(own, allowMissingColumns=True).repartition(*keys)
+    # blanks go here, where their key is known: a filter further down would compute it twice
+    filled = F.coalesce(F.col("__t") != "", F.lit(False))
+    rows = rows.withColumn("__equal", F.when(filled, F.max("__b").over(Window.partitionBy(*keys, "__t"))))
+    rows = rows.withColumn("__lone", F.col("__p").isNotNull() & F.col("__equal").isNull() & filled)
+    rows = rows.withColumn("__some", F.max("__lone").over(Window.partitionBy(*keys)))
+
+    met = rows.where(F.col("__p").isNotNull() & ~F.col("__lone"))
+    met = met.select(*keys, "__p.paragraph_no", F.col("__equal.y").alias("__y"), F.when(F.col("__equal").isNotNull(), F.lit(1.0)).alias("ratio"))
+    texts = lambda where, c: F.sort_array(F.collect_list(F.when(where, F.struct(F.col(c).alias("r"), F.col("__t").alias("t")))), asc=False)
+    pages = rows.where("__some").groupBy(*keys).agg(texts(F.col("__lone"), "__p").alias("__ps"), texts(F.col("__b").isNotNull() & filled, "__b").alias("__bs"))
+    pages = pages.withColumn("__m", _closest(F.col("__ps.t"), F.col("__bs.t")))
+    pages = pages.select(*keys, "__bs", F.explode(F.arrays_zip(F.col("__ps.r").alias("p"), F.col("__m").alias("m"))).alias("__x"))
+    found = pages.select(*keys, "__x.p.paragraph_no", F.get(F.col("__bs.r"), F.col("__x.m.place"))["y"].alias("__y"), F.col("__x.m.ratio").alias("ratio"))
+    return met.unionByName(found).select(*keys, "paragraph_no", F.when(F.col("ratio") >= s.min_match, F.col("__y")).alias("anchor"), "ratio")
 
 
 def last_marker(lines: DataFrame, document: str = "document_id", order: str = "line_no", text: str = "line") -> DataFrame:

@@ -157,6 +157,60 @@ def test_block_matching(spark):
     assert got[1, 1][0] is None and got[2, 0] == (None, None)
 
 
+def test_closest_block(monkeypatch):
+    """The place and ratio of trying all blocks, with few of them tried."""
+    import difflib
+    import random
+
+    calls, rnd = [], random.Random(1)
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            calls.append(1)
+            return super().ratio()
+
+    def tried(paragraph, blocks):
+        ratios = [SequenceMatcher(None, paragraph, b).ratio() for b in blocks]
+        return (ratios.index(max(ratios)), max(ratios)) if blocks else None
+
+    monkeypatch.setattr(difflib, "SequenceMatcher", Counted)
+    closest = figures.closest()
+    for n in range(400):
+        # short ones tie often; from 200 characters on the library leaves frequent ones out
+        text = (lambda: "".join(rnd.choices("abc", k=rnd.randint(0, 6)))) if n % 2 else (lambda: "".join(rnd.choices("ab" * 20 + "qxyz", k=rnd.randint(190, 250))))
+        blocks = [text() for _ in range(rnd.randint(0, 6))]
+        p = rnd.choice([text(), *blocks])
+        assert closest(p, blocks) == tried(p, blocks)
+        assert SequenceMatcher(None, p, p).ratio() == 1.0
+    blocks = ["".join(rnd.choices("abcdefghijklmnop ", k=250)) for _ in range(300)]
+    calls.clear()
+    assert closest(blocks[7], blocks) == (7, 1.0) and len(calls) == 1
+    assert closest(blocks[7][:-5], blocks) == tried(blocks[7][:-5], blocks) and len(calls) < 30
+
+
+def test_block_matching_of_a_long_page(spark):
+    """Every line of a long page has its own block, but for some; comparing all pairs of the page takes minutes."""
+    import random
+    import time
+
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choices("abcdefghijklmnop ", k=240)).strip() + str(i) for i in range(600)]
+    other = {5: texts[5][10:], 6: "9", 7: "***", 8: None}
+    paragraphs = [(None, 1, i, other.get(i, f"**{x}** |")) for i, x in enumerate(texts)] + [("d", 1, 0, texts[0])]
+    blocks = [(None, 1, i + 600 * k, 0, i + 0.5 * k, x) for k in range(2) for i, x in enumerate(texts)] + [("d", 1, 0, 1, 3.0, texts[0]), ("d", 1, 1, None, 3.0, texts[0]), ("d", 1, 2, 0, 3.0, " - ")]
+    paragraphs = spark.createDataFrame(paragraphs, "document_id string, page_no int, paragraph_no int, text string")
+    blocks = spark.createDataFrame(blocks, "document_id string, page_no int, block_no int, block_type int, y0 double, text string")
+    began = time.monotonic()
+    got = {(r.document_id, r.paragraph_no): (r.anchor, r.ratio) for r in figures.match_blocks(paragraphs, blocks).collect()}
+    assert time.monotonic() - began < 60
+    norm = [" ".join(x.split()) for x in texts]
+    assert all(got.pop((None, i)) == (float(i), 1.0) for i in range(600) if i not in other)
+    assert got.pop((None, 5)) == (5.0, SequenceMatcher(None, " ".join(other[5].split()), norm[5]).ratio())
+    nine = [SequenceMatcher(None, "9", x).ratio() for x in norm]
+    assert got.pop((None, 6)) == (None, max(nine))
+    assert got == {(None, 7): (None, None), (None, 8): (None, None), ("d", 0): (None, None)}
+
+
 def test_runs_limits_and_poison(spark):
     rows = spark.createDataFrame([("d", i, k, p, d) for i, (k, p, d) in enumerate([("1", "x", "a"), ("1", "b here", "B"), ("1", "", "c"), ("1", "", "e"), ("2", "", "f"), ("1", "", "g"), ("1", "", "")])], "document_id string, item_no int, page_key string, parent_text string, description string")
     got = [(r.run_id, r.appended, r.serialized) for r in chunking.picture_runs(rows).orderBy("item_no").collect()]

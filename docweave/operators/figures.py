@@ -132,16 +132,17 @@ def _closest(paragraphs: Column, blocks: Column) -> Column:
 def match_blocks(paragraphs: DataFrame, blocks: DataFrame, s: Settings = DEFAULT, keys: tuple[str, ...] = ("document_id", "page_no")) -> DataFrame:
     """(keys, paragraph_no, anchor, ratio): the top of the block that a paragraph resembles most, null under the threshold.
 
-    Paragraphs and blocks of the same page are compared, first on Markdown-free
-    text; the first block wins ties. Image blocks and blank ones don't count.
+    Paragraphs and blocks of the same page are compared, on their whole
+    Markdown-free text; the first block wins ties. Image blocks and blank ones
+    don't count.
 
     Rows are dealt once by page. A block of the paragraph's own text has ratio
     1, which no other text reaches; only pages with a paragraph that has no
     such block are collected and searched.
     """
     tops = F.struct((-F.col("block_no")).alias("n"), F.col("y0").alias("y"))
-    own = blocks.where(F.col("block_type") == 0).select(*keys, t.match_key("text", s.match_chars).alias("__t"), tops.alias("__b"))
-    left = paragraphs.select(*keys, t.match_key("text", s.match_chars).alias("__t"), F.struct("paragraph_no").alias("__p"))
+    own = blocks.where(F.col("block_type") == 0).select(*keys, t.match_key("text", None).alias("__t"), tops.alias("__b"))
+    left = paragraphs.select(*keys, t.match_key("text", None).alias("__t"), F.struct("paragraph_no").alias("__p"))
     rows = left.unionByName(own, allowMissingColumns=True).repartition(*keys)
     # blanks go here, where their key is known: a filter further down would compute it twice
     filled = F.coalesce(F.col("__t") != "", F.lit(False))

@@ -370,6 +370,15 @@ def test_paragraph_match_equals_brute_force(spark):
     assert len(rows) == len(want) and {tuple(r[c] for c in ("doc_id", "paragraph_no", "anchor", "ratio")) for r in rows} == want
 
 
+def test_paragraph_match_reads_whole_lines(spark, tmp_path):
+    """Lines of one page with one beginning each find themselves."""
+    lines = ["x" * 300 + f" line {i} " + "y" * 2000 + f" ends {i % 3}" for i in range(10)]
+    spark.createDataFrame([(1, "\n".join([*lines, lines[9]]))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.paragraph_match(spark, str(tmp_path)).collect()
+    want = {(1, n, 12.0 * n, 1.0) for n in range(10)} | {(1, 10, 108.0, 1.0)}
+    assert len(rows) == len(want) and {tuple(r[c] for c in ("doc_id", "paragraph_no", "anchor", "ratio")) for r in rows} == want
+
+
 def test_timer(caplog):
     with caplog.at_level("INFO", logger="docweave"):
         with timed("step", rows=3):

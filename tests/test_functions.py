@@ -211,6 +211,22 @@ def test_block_matching_of_a_long_page(spark):
     assert got == {(None, 7): (None, None), (None, 8): (None, None), ("d", 0): (None, None)}
 
 
+def test_block_matching_of_whole_texts(spark):
+    """Blocks that differ only far behind their beginnings are told apart, by equal texts and by the search."""
+    start = "The same long beginning of two blocks, word by word. " * 8
+    first, second = start + "One ends so: quick brown foxes, 1.", start + "Another, by contrast, stops with jumbled zebras & 27 owls."
+    near = "**" + second.replace("owls", "owl") + "** |"
+    paragraphs = [("d", 1, 0, f"# {first}"), ("d", 1, 1, f"**{second}** |"), ("d", 2, 0, near), ("d", 3, 0, "- " + second)]
+    blocks = [("d", n, i, 0, 10.0 * i, x) for n in (1, 2) for i, x in enumerate((first, second))] + [("d", 3, 0, 0, 5.0, first)]
+    paragraphs = spark.createDataFrame(paragraphs, "document_id string, page_no int, paragraph_no int, text string")
+    blocks = spark.createDataFrame(blocks, "document_id string, page_no int, block_no int, block_type int, y0 double, text string")
+    got = {(r.page_no, r.paragraph_no): (r.anchor, r.ratio) for r in figures.match_blocks(paragraphs, blocks).collect()}
+    ratio = lambda a, b: SequenceMatcher(None, " ".join(a.lower().replace("*", " ").replace("|", " ").split()), b.lower()).ratio()
+    assert got.pop((1, 0)) == (0.0, 1.0) and got.pop((1, 1)) == (10.0, 1.0)
+    assert ratio(near, first) < ratio(near, second) < 1 and got.pop((2, 0)) == (10.0, ratio(near, second))
+    assert 0.35 <= ratio(second, first) < 1 and got == {(3, 0): (5.0, ratio(second, first))}
+
+
 def test_runs_limits_and_poison(spark):
     rows = spark.createDataFrame([("d", i, k, p, d) for i, (k, p, d) in enumerate([("1", "x", "a"), ("1", "b here", "B"), ("1", "", "c"), ("1", "", "e"), ("2", "", "f"), ("1", "", "g"), ("1", "", "")])], "document_id string, item_no int, page_key string, parent_text string, description string")
     got = [(r.run_id, r.appended, r.serialized) for r in chunking.picture_runs(rows).orderBy("item_no").collect()]
